@@ -1,0 +1,4 @@
+"""Streaming: the analysed application has no streams, watermarks or state,
+so nothing lives here. Every operator in :mod:`datalathe.operators` is a
+plain DataFrame transform and can be applied per micro-batch from a
+``foreachBatch`` sink if a stream ever needs one."""
