@@ -10,13 +10,17 @@ rounded on both sides (summation order differs between engines).
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datalathe.operators import cleaning, health, kpi, masking, phrase, profile, query, widgets
+from datalathe.operators import cleaning, health, kpi, masking, models, phrase, profile, query, widgets
+from datalathe.plans.history import StepHistory, Workspace, apply_expression, diff_frames
+from datalathe.session import ensure_checkpoint_dir
+from datalathe.sources import files
 
 SF0001 = "/root/testdata/sf0.001"
 DIGITS = 4
@@ -279,6 +283,83 @@ def q_health(spark, sf):
     return health.check_health(_t(spark, sf, "events"), runs, AS_OF)
 
 
+def q_drivers(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    return _r(models.key_drivers(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag",
+                                                          "l_linestatus"]))
+
+
+def q_drivers_top(spark, sf):
+    return _r(models.key_drivers(_t(spark, sf, "orders"), "o_orderstatus",
+                                 ["o_totalprice", "o_orderpriority", "o_custkey"], impute=False, top=5))
+
+
+def q_train_regression(spark, sf):
+    res = models.train_compare(_t(spark, sf, "lineitem"), "regression", ["linear", "ridge", "lasso", "dt", "svr"],
+                               "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return _r(res["comparison"])
+
+
+def q_train_classification(spark, sf):
+    res = models.train_compare(_t(spark, sf, "orders"), "classification", ["logistic", "nb", "dt", "knn"],
+                               "o_orderstatus", ["o_totalprice", "o_orderpriority"])
+    return _r(res["comparison"])
+
+
+def q_kmeans(spark, sf):
+    return models.kmeans(_t(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], k=3)["sizes"]
+
+
+def q_suggest_config(spark, sf):
+    return models.suggest_model_frame(_t(spark, sf, "orders"), "Predict order total price")
+
+
+def _scratch(spark, kind: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def q_snapshot_diff(spark, sf):
+    o = _t(spark, sf, "orders")
+    changed = (o.filter(F.col("o_orderstatus") != "P").drop("o_orderpriority")
+               .withColumn("o_year", F.year("o_orderdate")))
+    return diff_frames(o, changed)
+
+
+def q_feature_apply(spark, sf):
+    o = apply_expression(_t(spark, sf, "orders"), "net_price", "o_totalprice * (1 - 0.1)")
+    return _r(o.select("o_orderkey", "net_price"))
+
+
+def q_csv_roundtrip(spark, sf):
+    src = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    path = files.write_csv(src, _scratch(spark, "csv"))
+    return _r(files.load_csv(spark, path))
+
+
+def q_json_roundtrip(spark, sf):
+    path = _scratch(spark, "json")
+    _t(spark, sf, "customer").write.json(path)
+    return _r(files.load_json_records(spark, path, multi_line=False).select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+def q_step_history(spark, sf):
+    ws = Workspace(spark, _scratch(spark, "workspace"))
+    did = ws.register_dataset("events", "parquet")
+    hist = StepHistory(_t(spark, sf, "events"), workspace=ws, dataset_id=did)
+    hist.clean("remove_outliers", columns=["value"])
+    hist.clean("drop_columns", columns=["props"])
+    hist.undo()
+    hist.redo()
+    runs = ws.list_snapshots(did).orderBy("seq")
+    steps = spark.createDataFrame(list(enumerate(hist.steps)), "step int, description string")
+    # the run log holds one row per step: a tiny, bounded window
+    numbered = runs.select(F.row_number().over(Window.orderBy("seq")).cast("int").alias("step"),
+                           "row_count", "col_count")
+    return numbered.select((F.col("step") - 1).alias("step"), "row_count", "col_count").join(steps, "step", "left")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "builder_pricing_summary": q_builder_pricing_summary,
     "builder_contains_top": q_builder_contains_top,
@@ -329,6 +410,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contract_check": q_contract_check,
     "freshness": q_freshness,
     "health": q_health,
+    "drivers": q_drivers,
+    "drivers_top": q_drivers_top,
+    "train_regression": q_train_regression,
+    "train_classification": q_train_classification,
+    "kmeans": q_kmeans,
+    "suggest_config": q_suggest_config,
+    "snapshot_diff": q_snapshot_diff,
+    "feature_apply": q_feature_apply,
+    "csv_roundtrip": q_csv_roundtrip,
+    "json_roundtrip": q_json_roundtrip,
+    "step_history": q_step_history,
 }
 
 
@@ -644,6 +736,22 @@ def oracle_sql() -> dict[str, str]:
                         ELSE 'stale' END AS freshness
             FROM events""",
         "health": _health_sql(),
+        "snapshot_diff": """
+            SELECT ['o_year'] AS added_columns, ['o_orderpriority'] AS removed_columns,
+                   (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') - (SELECT count(*) FROM orders) AS rows_diff,
+                   'Row change: ' || ((SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') - (SELECT count(*) FROM orders))
+                   || '. Cols added: 1, removed: 1' AS summary""",
+        "feature_apply": "SELECT o_orderkey, round(o_totalprice * (1 - 0.1), 4) AS net_price FROM orders",
+        "csv_roundtrip": """
+            SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders""",
+        "json_roundtrip": "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer",
+        "step_history": """
+            WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+            kept AS (SELECT count(*) AS n FROM events, b WHERE value IS NULL OR NOT (value < q1 - 1.5 * (q3 - q1)
+                     OR value > q3 + 1.5 * (q3 - q1)))
+            SELECT 0 AS step, (SELECT count(*) FROM events) AS row_count, 6 AS col_count, 'Loaded Data' AS description
+            UNION ALL SELECT 1, (SELECT n FROM kept), 6, 'Removed Outliers'
+            UNION ALL SELECT 2, (SELECT n FROM kept), 5, 'Dropped Columns: [''props'']'""",
     }
 
 
