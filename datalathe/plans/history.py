@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 
 from datalathe.functions.types import schema_fingerprint
 from datalathe.operators import cleaning, masking
@@ -54,9 +54,9 @@ def _seq() -> int:
 
 def newest(df: DataFrame, key: str) -> DataFrame:
     """Newest record per key (partial aggregate on ``max(struct(seq, row))``)."""
-    others = [c for c in df.columns if c != key]
+    others = [c for c in df.columns if c not in (key, "seq")]
     best = df.groupBy(key).agg(F.max(F.struct("seq", *others)).alias("__r"))
-    return best.select(key, *[F.col(f"__r.{c}").alias(c) for c in others])
+    return best.select(key, *[F.col(f"__r.{c}").alias(c) for c in others], F.col("__r.seq").alias("seq"))
 
 
 class Workspace:
@@ -151,7 +151,7 @@ class Workspace:
     def register_feature(self, name: str, description: str, version: str, logic_code: str) -> str:
         """A named feature with many versions; the code is a Spark SQL
         expression, checked by parsing it before it is stored."""
-        F.expr(logic_code)  # raises on text that is not an expression
+        check_expression(self.spark, logic_code)
         fid = dataset_id_for("feature:" + name)
         known = self.table("features").filter(F.col("feature_id") == fid).limit(1).count()
         if not known:
@@ -181,6 +181,17 @@ class Workspace:
         return apply_expression(df, name, self.feature_code(name, version))
 
 
+def check_expression(spark: SparkSession, code: str) -> None:
+    """Raise ``ParseException`` on text that is not a Spark SQL expression;
+    unknown column names are fine (they belong to the table it is applied to)."""
+    try:
+        spark.range(0).select(F.expr(code)).schema
+    except ParseException:
+        raise
+    except AnalysisException:
+        pass
+
+
 def apply_expression(df: DataFrame, name: str, code: str) -> DataFrame:
     """Add (or replace) column ``name`` computed by a Spark SQL expression."""
     return df.withColumn(name, F.expr(code))
