@@ -43,10 +43,13 @@ def exact_quantiles(
     accuracy: int = 10_000,
     bins: int = BINS,
     collect_limit: int = COLLECT_LIMIT,
+    known: dict | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles ``probs`` of every column in ``columns``: ``{col: [q(p) ...]}``.
 
     Nulls and NaN are skipped; a column without values gives ``None``.
+    ``known`` may give ``{col: (count, min, max)}`` of the non-null values
+    already computed by the caller, which saves the first pass.
     ``approx=True`` switches to one ``percentile_approx`` pass (relative
     rank error ``1/accuracy``).
     """
@@ -60,11 +63,16 @@ def exact_quantiles(
         ).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)) for i, c in enumerate(cols)}
 
-    aggs = []
-    for i, c in enumerate(cols):
-        v = _value(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    stats = df.agg(*aggs).first()
+    if known is not None and all(c in known for c in cols):
+        stats = {}
+        for i, c in enumerate(cols):
+            stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"] = known[c]
+    else:
+        aggs = []
+        for i, c in enumerate(cols):
+            v = _value(c)
+            aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        stats = df.agg(*aggs).first()
 
     # target ranks per column, state: [lo, hi, below, count]
     state: dict[tuple[int, int], list] = {}
@@ -141,8 +149,9 @@ def _tagged(df: DataFrame, cols, probes, with_bin: int | None) -> DataFrame:
             fields.append(F.least(F.lit(with_bin - 1), F.greatest(F.lit(0), F.floor(pos).cast("int"))).alias("b"))
         fields.append(v.alias("v"))
         items.append(F.when(v.between(lo, hi), F.struct(*fields)))
-    tagged = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return df.select(F.explode(tagged).alias("t")).select("t.*")
+    # explode, then drop the nulls: a lambda filter on the array would run
+    # interpreted, outside whole-stage codegen
+    return df.select(F.explode(F.array(*items)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
 
 
 def _narrow(df, cols, pending, state, bins) -> None:
@@ -169,17 +178,19 @@ def _narrow(df, cols, pending, state, bins) -> None:
 
 
 def _read_brackets(df, cols, pending) -> dict:
+    """Pick each rank inside its (small) bracket on the executors: one sorted
+    array of at most ``collect_limit`` values per bracket, then
+    ``element_at``; only the answers reach the driver."""
     probes = _probes(pending)
-    rows = _tagged(df, cols, probes, None).collect()
-    values = defaultdict(list)
-    for r in rows:
-        values[r["p"]].append(r["v"])
-    for vs in values.values():
-        vs.sort()
-    out = {}
+    arrays = _tagged(df, cols, probes, None).groupBy("p").agg(F.sort_array(F.collect_list("v")).alias("a"))
+    wanted = []
     for key, (lo, hi, below, _cnt) in pending.items():
-        out[key] = values[probes[(key[0], lo, hi)]][key[1] - below]
-    return out
+        wanted.append((probes[(key[0], lo, hi)], key[1] - below + 1, key[0], key[1]))
+    spark = df.sparkSession
+    picks = spark.createDataFrame(wanted, "p int, pos long, i int, r long")
+    # picks holds one row per wanted rank: a proven small side
+    got = arrays.join(F.broadcast(picks), "p").select("i", "r", F.element_at("a", F.col("pos").cast("int")).alias("v"))
+    return {(row["i"], row["r"]): row["v"] for row in got.collect()}
 
 
 def _fallback(df, cols, pending) -> dict:

@@ -39,8 +39,8 @@ def unpivot_text(df: DataFrame, columns, *, with_order_key: bool = True) -> Data
             k = col(name).cast("double") if is_numeric(dtype) else F.lit(None).cast("double")
             fields.append(k.alias("k"))
         items.append(F.when(col(name).isNotNull(), F.struct(*fields)))
-    arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return df.select(F.explode(arr).alias("t")).select("t.*")
+    # explode then drop nulls (a lambda filter would leave whole-stage codegen)
+    return df.select(F.explode(F.array(*items)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
 
 
 def column_modes(df: DataFrame, columns) -> dict[str, str | None]:

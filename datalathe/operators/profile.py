@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datalathe.functions.quantiles import exact_quantiles
-from datalathe.functions.stats import safe_corr, unpivot_text
+from datalathe.functions.stats import unpivot_text
 from datalathe.functions.types import (
     col,
     dtype_name,
@@ -154,7 +154,8 @@ def describe(df: DataFrame, *, approx: bool = False) -> DataFrame:
     for j, c in enumerate(texts):
         aggs += [F.count(col(c)).alias(f"tn{j}")]
     r = df.agg(*aggs).first()
-    quart = exact_quantiles(df, nums, [0.25, 0.5, 0.75], approx=approx) if nums else {}
+    known = {c: (r[f"n{i}"], r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(nums)}
+    quart = exact_quantiles(df, nums, [0.25, 0.5, 0.75], approx=approx, known=known) if nums else {}
     tops = _value_counts_summary(df, texts) if texts else {}
     out = []
     for i, c in enumerate(nums):
@@ -181,21 +182,66 @@ def _value_counts_summary(df: DataFrame, columns) -> dict:
 def correlation(df: DataFrame, columns=None) -> DataFrame:
     """Pearson correlation of every ordered pair of numeric columns
     (diagonal included) over pairwise complete rows; null where a side is
-    constant. The upper triangle is one aggregate; the rest is mirrored."""
+    constant.
+
+    Two aggregates of plain sums: the first finds each column's count and
+    mean; the second sums products of mean-centred values (centring keeps
+    the one-pass formula as accurate as a two-pass one). Sums have one
+    buffer field each, so the aggregate stays in whole-stage codegen where
+    ``covar_pop``/``stddev_pop`` pairs would not. Pairs with a nullable
+    side mask both sides to the rows where both are present.
+    """
     cols = list(columns) if columns else numeric_columns(df)
     spark = df.sparkSession
     schema = "x string, y string, value double"
     if not cols:
         return spark.createDataFrame([], schema)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    r = df.agg(*[safe_corr(col(cols[i]).cast("double"), col(cols[j]).cast("double")).alias(f"c{i}_{j}")
-                 for i, j in pairs]).first()
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            rows.append((a, b, r[f"c{lo}_{hi}"]))
-    return spark.createDataFrame(rows, schema)
+    k = len(cols)
+    x = [col(c).cast("double") for c in cols]
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(x)],
+                   *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    rows = first["rows"]
+    mean = [first[f"m{i}"] or 0.0 for i in range(k)]
+    full = [first[f"n{i}"] == rows for i in range(k)]
+    d = [v - F.lit(mean[i]) for i, v in enumerate(x)]
+    aggs = []
+    for i in range(k):
+        aggs += [F.sum(d[i]).alias(f"s{i}"), F.sum(d[i] * d[i]).alias(f"q{i}")]
+    for i in range(k):
+        for j in range(i + 1, k):
+            if full[i] and full[j]:
+                aggs.append(F.sum(d[i] * d[j]).alias(f"p{i}_{j}"))
+            else:
+                both = x[i].isNotNull() & x[j].isNotNull()
+                aggs += [F.sum(F.when(both, d[i] * d[j])).alias(f"p{i}_{j}"),
+                         F.count_if(both).alias(f"c{i}_{j}"),
+                         F.sum(F.when(both, d[i])).alias(f"a{i}_{j}"), F.sum(F.when(both, d[j])).alias(f"b{i}_{j}"),
+                         F.sum(F.when(both, d[i] * d[i])).alias(f"aa{i}_{j}"),
+                         F.sum(F.when(both, d[j] * d[j])).alias(f"bb{i}_{j}")]
+    r = df.agg(*aggs).first()
+
+    def pearson(n, sx, sy, sxx, syy, sxy):
+        if not n:
+            return None
+        sx, sy, sxx, syy, sxy = (v or 0.0 for v in (sx, sy, sxx, syy, sxy))
+        cov = sxy / n - (sx / n) * (sy / n)
+        vx = sxx / n - (sx / n) ** 2
+        vy = syy / n - (sy / n) ** 2
+        if vx <= 0 or vy <= 0:
+            return None
+        return max(-1.0, min(1.0, cov / (vx ** 0.5 * vy ** 0.5)))
+
+    value = {}
+    for i in range(k):
+        value[(i, i)] = pearson(first[f"n{i}"], r[f"s{i}"], r[f"s{i}"], r[f"q{i}"], r[f"q{i}"], r[f"q{i}"])
+        for j in range(i + 1, k):
+            if full[i] and full[j]:
+                value[(i, j)] = pearson(rows, r[f"s{i}"], r[f"s{j}"], r[f"q{i}"], r[f"q{j}"], r[f"p{i}_{j}"])
+            else:
+                value[(i, j)] = pearson(r[f"c{i}_{j}"], r[f"a{i}_{j}"], r[f"b{i}_{j}"], r[f"aa{i}_{j}"],
+                                        r[f"bb{i}_{j}"], r[f"p{i}_{j}"])
+    out = [(a, b, value[(min(i, j), max(i, j))]) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(out, schema)
 
 
 def histogram_edges(lo: float, hi: float, bins: int = 10) -> list[float]:
@@ -239,7 +285,7 @@ def histogram(df: DataFrame, columns=None, bins: int = 10) -> DataFrame:
         items.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), idx.alias("b"))))
     if not grid:
         return spark.createDataFrame([], schema)
-    tagged = df.select(F.explode(F.filter(F.array(*items), lambda t: t.isNotNull())).alias("t")).select("t.*")
+    tagged = df.select(F.explode(F.array(*items)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
     counts = tagged.groupBy("i", "b").agg(F.count("*").alias("n"))
     frame = spark.createDataFrame(grid, "i int, column_name string, bin int, range string")
     # counts holds at most columns x bins rows: a proven bound for broadcast
