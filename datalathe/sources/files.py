@@ -14,6 +14,7 @@ from datalathe.functions.types import col, nan_to_null, string_columns
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_CHARS = 1024
 SNIFF_LINES = 50
+ENCODING_CHECK_ROWS = 100_000
 REPLACEMENT_CHAR = "\ufffd"
 FALLBACK_ENCODING = "ISO-8859-1"
 
@@ -51,7 +52,9 @@ def _head_lines(spark: SparkSession, path: str) -> list[str]:
     return out
 
 
-def _has_replacement(df: DataFrame) -> bool:
+def _has_replacement(df: DataFrame, rows: int = ENCODING_CHECK_ROWS) -> bool:
+    """U+FFFD in the leading ``rows`` rows (a bounded sniff, like the
+    reference's head-of-file encoding probe; pass ``encoding`` to skip it)."""
     cols = string_columns(df)
     if not cols:
         return False
@@ -59,7 +62,7 @@ def _has_replacement(df: DataFrame) -> bool:
     for c in cols:
         m = F.coalesce(F.instr(col(c), REPLACEMENT_CHAR) > 0, F.lit(False))
         cond = m if cond is None else cond | m
-    return not df.filter(cond).isEmpty()
+    return not df.limit(rows).filter(cond).isEmpty()
 
 
 def load_csv(spark: SparkSession, path: str, *, sep: str | None = None, header: bool = True,
