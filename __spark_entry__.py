@@ -470,7 +470,7 @@ def _hist_sql() -> str:
     for i, c in enumerate(EVENTS_NUM):
         x = f"CAST({c} AS DOUBLE)"
         parts.append(f"""
-        SELECT '{c}' AS column_name, g.b AS bin,
+        SELECT '{c}' AS column_name, CAST(g.b AS INTEGER) AS bin,
                printf('%.2f-%.2f', s.lo + g.b * ((s.hi - s.lo) / 10),
                       CASE WHEN g.b = 9 THEN s.hi ELSE s.lo + (g.b + 1) * ((s.hi - s.lo) / 10) END) AS range,
                coalesce(c.n, 0) AS count
@@ -699,7 +699,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(user_id AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM events
             GROUP BY 1 ORDER BY name LIMIT 50""",
         "scatter_widget": """
-            SELECT coalesce(CAST(user_id AS DOUBLE), 0.0) AS x, round(coalesce(value, 0.0), 4) AS y, 1.0 AS z FROM events""",
+            SELECT coalesce(CAST(user_id AS DOUBLE), 0.0) AS x, round(coalesce(value, 0.0), 4) AS y, CAST(1.0 AS DOUBLE) AS z FROM events""",
         "overview": f"""
             SELECT count(*) AS rows, 7 AS columns,
                    count(*) FILTER (WHERE quality IS NULL) + count(*) FILTER (WHERE toxic IS NULL)
@@ -743,8 +743,10 @@ def oracle_sql() -> dict[str, str]:
                    || '. Cols added: 1, removed: 1' AS summary""",
         "feature_apply": "SELECT o_orderkey, round(o_totalprice * (1 - 0.1), 4) AS net_price FROM orders",
         "csv_roundtrip": """
-            SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders""",
-        "json_roundtrip": "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer",
+            SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
+                   round(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders""",
+        "json_roundtrip": ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
+                           "round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer"),
         "step_history": """
             WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
             kept AS (SELECT count(*) AS n FROM events, b WHERE value IS NULL OR NOT (value < q1 - 1.5 * (q3 - q1)

@@ -12,6 +12,11 @@ import sys
 
 import duckdb
 
+import os
+
+# STRICT=1 compares floats exactly as returned (both sides already round)
+STRICT = os.environ.get("STRICT") == "1"
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -30,7 +35,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "∅"
-        r = round(v, 3)
+        r = v if STRICT else round(v, 3)
         return str(int(r)) if r == int(r) else repr(r)
     if isinstance(v, decimal.Decimal):
         return _norm(float(v))
@@ -51,6 +56,16 @@ def digest(columns, rows) -> str:
     return hashlib.md5("\n".join(lines).encode()).hexdigest()
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "FLOAT": "float", "SMALLINT": "smallint",
+                 "VARCHAR[]": "array<string>", "DATE": "date"}
+
+
+def duck_types(con, sql):
+    rel = con.sql(sql)
+    return {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+
+
 def compare(spark, name, fn, sql, sf_dir, con=None):
     con = con or duck(sf_dir)
     sdf = fn(spark, sf_dir)
@@ -65,6 +80,11 @@ def compare(spark, name, fn, sql, sf_dir, con=None):
            "cols_ok": sorted(s_cols) == sorted(o_cols),
            "hash_ok": digest(s_cols, s_rows) == digest(o_cols, o_rows)}
     res["ok"] = res["cols_ok"] and res["hash_ok"] and len(s_rows) == len(o_rows)
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    o_types = duck_types(con, sql)
+    bad_types = {c: (s_types[c], o_types.get(c)) for c in s_types if o_types.get(c) != s_types[c]}
+    if bad_types:
+        res["type_diff"] = bad_types
     if not res["cols_ok"]:
         res["spark_cols"], res["oracle_cols"] = s_cols, o_cols
     if res["cols_ok"] and not res["hash_ok"]:
