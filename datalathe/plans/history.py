@@ -139,6 +139,20 @@ class Workspace:
         back, path, _ = self.snapshot(df, dataset_id)
         return back, path
 
+    def diff(self, path_a: str, path_b: str, *, values: bool = False) -> DataFrame:
+        """Schema and row-count difference of two snapshots (row counts come
+        from the Parquet footers)."""
+        return diff_frames(self.read_snapshot(path_a), self.read_snapshot(path_b), values=values)
+
+    def check_health(self, df: DataFrame, dataset_id: str, as_of: dt.datetime,
+                     current_run: str | None = None) -> DataFrame:
+        """Volume, drift and freshness of ``df`` against this dataset's newest
+        runs, leaving out ``current_run`` (the run logged for ``df`` itself)."""
+        from datalathe.operators.health import check_health
+
+        history = self.run_history(dataset_id, limit=None, exclude_run=current_run)
+        return check_health(df, history, as_of)
+
     # ------------------------------------------------------------- contracts
     def save_contract(self, dataset_id: str, contract: dict) -> None:
         self._append("contracts", [(dataset_id, json.dumps(contract), _now(), _seq())])

@@ -88,3 +88,19 @@ def test_feature_registry(ws, spark):
         ws.register_feature("bad", "", "1", "price * (")
     with pytest.raises(KeyError):
         ws.feature_code("net", "9")
+
+
+def test_workspace_diff_and_health(ws, spark):
+    import datetime as dt
+
+    a = spark.range(10).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts")
+    pa = ws.save_snapshot(a, "h")
+    ws.log_run("h", a, pa)
+    b = a.limit(4).withColumn("extra", a.id * 2)
+    pb = ws.save_snapshot(b, "h")
+    run_b = ws.log_run("h", b, pb)
+    d = ws.diff(pa, pb).first()
+    assert d["rows_diff"] == -6 and d["added_columns"] == ["extra"]
+    r = ws.check_health(ws.read_snapshot(pb), "h", dt.datetime(2024, 1, 2), current_run=run_b).first()
+    # compared with the earlier run only: schema changed, a single earlier run keeps volume stable
+    assert (r["schema_status"], r["volume_status"], r["freshness"]) == ("drift_detected", "stable", "ok")
