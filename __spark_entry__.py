@@ -237,7 +237,7 @@ def q_chart_group_mean(spark, sf):
 
 
 def q_recommend_charts(spark, sf):
-    return profile.recommend_charts(_t(spark, sf, "orders"))[0]
+    return _r(profile.recommendation_rows(_t(spark, sf, "orders")))
 
 
 def q_sample_rows(spark, sf):
@@ -574,6 +574,64 @@ def _kpi_sql(table: str, sum_col: str, texts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _insights_sql() -> str:
+    cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    nums = EVENTS_NUM
+    z = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS z_{c}" for c in cols)
+    any_null = " + ".join(f"z_{c}" for c in cols)
+    n_null = " + ".join(f"CASE WHEN z_{c} > 0 THEN 1 ELSE 0 END" for c in cols)
+    names = ", ".join(f"CASE WHEN z_{c} > 0 THEN '{c}' END" for c in cols)
+    st = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}, "
+                   f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in nums)
+    zc = ", ".join(f"count(*) FILTER (WHERE abs((CAST({c} AS DOUBLE) - m_{c}) / s_{c}) > 3) AS o_{c}" for c in nums)
+    live = {c: f"(a_{c} <> b_{c} AND s_{c} > 0 AND o_{c} > 0)" for c in nums}
+    outl = ", ".join(f"CASE WHEN {live[c]} THEN '{c} (' || o_{c} || ')' END" for c in nums)
+    pairs = [(a, b) for j, b in enumerate(nums) for a in nums[:j]]
+    corr = ", ".join(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r_{a}_{b}" for a, b in pairs)
+    high = {b: " OR ".join(f"abs(r_{a}_{b}) > 0.8" for a in nums[:j]) for j, b in enumerate(nums) if j}
+    high_names = ", ".join(f"CASE WHEN {cond} THEN '{b}' END" for b, cond in high.items())
+    any_high = " OR ".join(f"({c})" for c in high.values())
+    return f"""
+    WITH n AS (SELECT count(*) AS rows, {z} FROM events),
+    d AS (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM events)),
+    s AS (SELECT {st} FROM events),
+    o AS (SELECT {zc} FROM events, s),
+    c AS (SELECT {corr} FROM events),
+    lines AS (
+      SELECT 1 AS k, 'The dataset contains ' || rows || ' rows and {len(cols)} columns.' AS insight FROM n
+      UNION ALL SELECT 2, CASE WHEN {any_null} = 0 THEN 'No missing values found in the dataset.'
+                          ELSE 'Found missing values in ' || ({n_null}) || ' columns: ' || concat_ws(', ', {names}) || '.' END FROM n
+      UNION ALL SELECT 3, 'Identified ' || (n.rows - d.k) || ' duplicate rows.' FROM n, d WHERE n.rows - d.k > 0
+      UNION ALL SELECT 4, 'Columns breakdown: {len(nums)} numerical, 2 categorical.'
+      UNION ALL SELECT 5, 'Potential outliers detected in: ' || concat_ws(', ', {outl}) || '.' FROM s, o
+                WHERE {" OR ".join(live.values())}
+      UNION ALL SELECT 6, 'High correlation detected in columns: ' || concat_ws(', ', {high_names}) || '.' FROM c
+                WHERE {any_high})
+    SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS idx, insight FROM lines"""
+
+
+def _charts_sql() -> str:
+    x = "CAST(o_orderkey AS DOUBLE)"
+    return f"""
+    SELECT 'rec_dist' AS chart_id, 'Distribution of o_orderkey' AS title,
+           printf('%.2f-%.2f', s.lo + g.b * ((s.hi - s.lo) / 10),
+                  CASE WHEN g.b = 9 THEN s.hi ELSE s.lo + (g.b + 1) * ((s.hi - s.lo) / 10) END) AS label,
+           CAST(coalesce(c.n, 0) AS DOUBLE) AS value
+    FROM range(10) g(b)
+    CROSS JOIN (SELECT min({x}) AS lo, max({x}) AS hi FROM orders) s
+    LEFT JOIN (SELECT least(9, CAST(floor(({x} - s2.lo) * (10 / (s2.hi - s2.lo))) AS BIGINT)) AS b, count(*) AS n
+               FROM orders, (SELECT min({x}) AS lo, max({x}) AS hi FROM orders) s2
+               WHERE o_orderkey IS NOT NULL GROUP BY 1) c ON c.b = g.b
+    UNION ALL
+    SELECT 'rec_cat', 'Top Categories in o_orderstatus', v, CAST(n AS DOUBLE) FROM (
+      SELECT o_orderstatus AS v, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL
+      GROUP BY 1 ORDER BY n DESC, v LIMIT 10)
+    UNION ALL
+    SELECT 'rec_comp', 'Average o_orderkey by o_orderstatus', name, round(value, 4) FROM (
+      SELECT CAST(o_orderstatus AS VARCHAR) AS name, avg(CAST(o_orderkey AS DOUBLE)) AS value FROM orders
+      WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 10)"""
+
+
 def oracle_sql() -> dict[str, str]:
     dl = _docs_labels_sql()
     return {
@@ -736,6 +794,8 @@ def oracle_sql() -> dict[str, str]:
                         ELSE 'stale' END AS freshness
             FROM events""",
         "health": _health_sql(),
+        "insights": _insights_sql(),
+        "recommend_charts": _charts_sql(),
         "snapshot_diff": """
             SELECT ['o_year'] AS added_columns, ['o_orderpriority'] AS removed_columns,
                    (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') - (SELECT count(*) FROM orders) AS rows_diff,

@@ -445,6 +445,31 @@ def recommend_charts(df: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     return df.sparkSession.createDataFrame(recs, schema), data
 
 
+def recommendation_rows(df: DataFrame) -> DataFrame:
+    """The suggested charts' data in long form: rows ``(chart_id, title,
+    label, value)`` for the histogram, top-categories and group-mean charts
+    (the scatter chart's data is its 200-row sample, kept apart)."""
+    recs, data = recommend_charts(df)
+    parts = []
+    if "rec_dist" in data:
+        parts.append(data["rec_dist"].select(F.lit("rec_dist").alias("chart_id"), F.col("range").alias("label"),
+                                             F.col("count").cast("double").alias("value")))
+    if "rec_cat" in data:
+        parts.append(data["rec_cat"].select(F.lit("rec_cat").alias("chart_id"), F.col("name").alias("label"),
+                                            F.col("count").cast("double").alias("value")))
+    if "rec_comp" in data:
+        parts.append(data["rec_comp"].select(F.lit("rec_comp").alias("chart_id"), F.col("name").alias("label"),
+                                             F.col("value").cast("double").alias("value")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "chart_id string, title string, label string, value double")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    # the suggestion table has at most four rows
+    titles = F.broadcast(recs.select("chart_id", "title"))
+    return rows.join(titles, "chart_id").select("chart_id", "title", "label", "value")
+
+
 def nested_columns(df: DataFrame) -> list[str]:
     """Struct/array/map columns, which the profile operators skip."""
     return [f.name for f in df.schema.fields if is_nested(f.dataType)]
