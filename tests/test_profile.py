@@ -135,3 +135,12 @@ def test_column_profile(frame):
     r = {x["column_name"]: x for x in profile.column_profile(df).collect()}
     assert r["s"]["missing"] == 1 and r["s"]["unique"] == 2 and r["n"]["dtype"] == "int"
     assert r["s"]["missing_pct"] == pytest.approx(100 / 3)
+
+
+def test_approx_switches(spark):
+    df = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 3 AS STRING) AS s")
+    exact = {r["column_name"]: r for r in profile.describe(df).collect()}
+    approx = {r["column_name"]: r for r in profile.describe(df, approx=True).collect()}
+    assert exact["x"]["p50"] == 499.5 and abs(approx["x"]["p50"] - 499.5) <= 1
+    prof = {r["column_name"]: r["unique"] for r in profile.column_profile(df, approx_distinct=True).collect()}
+    assert abs(prof["x"] - 1000) < 200 and prof["s"] == 3  # HyperLogLog++, 5% rsd

@@ -89,3 +89,20 @@ def test_filters_pushed_to_parquet(spark, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(x), GreaterThan(x,50.0)]" in plan
     assert "ReadSchema: struct<id:bigint,x:double>" in plan
+
+
+def test_run_builder_request(orders):
+    res = query.run_builder(orders, {"filters": [{"col": "x", "op": ">=", "val": 5}], "groupby": ["tag"],
+                                     "aggregates": {"x": "median"}, "sort": {"tag": "asc"}, "limit": 10})
+    assert [tuple(r) for r in res["frame"].collect()] == [("a", 5.0), ("b", 5.0)]
+    assert res["summary"]["shape"] == (2, 2)
+    assert res["generated_sql"].startswith("SELECT tag, MEDIAN(x) AS x FROM current_data WHERE x >= 5")
+
+
+def test_grouped_median_matches_numpy(spark):
+    import numpy as np
+
+    rows = [(k, float(v)) for k in ("hot", "a", "b") for v in range(50 if k == "hot" else 7)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    out = {r["k"]: r["v"] for r in query.group_aggregate(df, ["k"], {"v": "median"}).collect()}
+    assert out == {"hot": float(np.median(range(50))), "a": 3.0, "b": 3.0}
