@@ -131,3 +131,29 @@ def text_form(name: str, dtype: T.DataType) -> Column:
             .otherwise(d.cast("string"))
         )
     return c.cast("string")
+
+
+def is_float(dtype: T.DataType) -> bool:
+    return isinstance(dtype, _FRACTIONAL)
+
+
+def value(df: DataFrame, name: str) -> Column:
+    """The column in its own type, with NaN read as missing (pandas' rule),
+    so statistics, comparisons, sorts and group keys skip it like null."""
+    dtype = df.schema[name].dataType
+    if is_float(dtype):
+        return F.nanvl(col(name), F.lit(None).cast(dtype))
+    return col(name)
+
+
+def num(df: DataFrame, name: str) -> Column:
+    """Double view of a numeric column, NaN read as missing."""
+    return value(df, name).cast("double")
+
+
+def missing(df: DataFrame, name: str) -> Column:
+    """True for null, and for NaN in float columns."""
+    dtype = df.schema[name].dataType
+    if is_float(dtype):
+        return col(name).isNull() | F.isnan(col(name))
+    return col(name).isNull()

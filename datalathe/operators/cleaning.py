@@ -16,12 +16,16 @@ from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.stats import column_modes
 from datalathe.functions.types import (
     col,
+    is_float,
     is_integral,
     is_numeric,
     known_columns,
+    missing,
+    num,
     numeric_columns,
     require_columns,
     text_form,
+    value,
 )
 from datalathe.session import ensure_checkpoint_dir
 
@@ -71,15 +75,15 @@ def _value_for(dtype: T.DataType, value) -> F.Column:
     return lit.try_cast(dtype)
 
 
-def fill_value(df: DataFrame, value, columns=None) -> DataFrame:
-    """Fill nulls with ``value`` in every column (or ``columns``), each
+def fill_value(df: DataFrame, fill, columns=None) -> DataFrame:
+    """Fill nulls (and NaN) with ``fill`` in every column (or ``columns``), each
     converted to the column's type; where it does not convert, the column is
     left as is."""
     targets = set(known_columns(df, columns) if columns else df.columns)
     exprs = []
     for f in df.schema.fields:
         if f.name in targets and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            exprs.append(F.coalesce(col(f.name), _value_for(f.dataType, value)).alias(f.name))
+            exprs.append(F.coalesce(value(df, f.name), _value_for(f.dataType, fill)).alias(f.name))
         else:
             exprs.append(col(f.name))
     return df.select(*exprs)
@@ -103,7 +107,7 @@ def fill_strategy(df: DataFrame, strategy: str, columns=None, *, approx: bool =
             if m is None:
                 exprs.append(col(f.name))
             else:
-                exprs.append(F.coalesce(col(f.name), F.lit(m).cast(f.dataType)).alias(f.name))
+                exprs.append(F.coalesce(value(df, f.name), F.lit(m).cast(f.dataType)).alias(f.name))
         return df.select(*exprs)
 
     if strategy not in ("mean", "median"):
@@ -111,9 +115,9 @@ def fill_strategy(df: DataFrame, strategy: str, columns=None, *, approx: bool =
     nums = [c for c in (known_columns(df, columns) if columns else numeric_columns(df)) if is_numeric(df.schema[c].dataType)]
     if not nums:
         return df
-    aggs = [F.count_if(col(c).isNull()).alias(f"z{i}") for i, c in enumerate(nums)]
+    aggs = [F.count_if(missing(df, c)).alias(f"z{i}") for i, c in enumerate(nums)]
     if strategy == "mean":
-        aggs += [F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(nums)]
+        aggs += [F.avg(value(df, c)).alias(f"m{i}") for i, c in enumerate(nums)]
     row = df.agg(*aggs).first()
     with_nulls = [c for i, c in enumerate(nums) if row[f"z{i}"]]
     if strategy == "mean":
@@ -125,7 +129,7 @@ def fill_strategy(df: DataFrame, strategy: str, columns=None, *, approx: bool =
     for f in df.schema.fields:
         v = fills.get(f.name)
         if f.name in fills and v is not None:
-            base = col(f.name).cast("double") if is_integral(f.dataType) else col(f.name)
+            base = num(df, f.name) if is_integral(f.dataType) else value(df, f.name)
             exprs.append(F.coalesce(base, F.lit(v).cast(base_type(f.dataType))).alias(f.name))
         else:
             exprs.append(col(f.name))
@@ -149,8 +153,11 @@ def remove_outliers(df: DataFrame, columns, *, approx: bool = False) -> DataFram
             continue
         iqr = q3 - q1
         lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-        x = col(c).cast("double")
-        out = out.filter(x.isNull() | ~((x < F.lit(lo)) | (x > F.lit(hi))))
+        x = col(c)  # the raw column keeps the range filter pushable
+        keep = x.isNull() | ~((x < F.lit(lo)) | (x > F.lit(hi)))
+        if is_float(out.schema[c].dataType):
+            keep = keep | F.isnan(x)  # NaN is missing: kept, like null
+        out = out.filter(keep)
     return out
 
 
@@ -250,12 +257,12 @@ def minmax_scale(df: DataFrame, columns) -> DataFrame:
     cols = [c for c in known_columns(df, columns) if is_numeric(df.schema[c].dataType)]
     if not cols:
         return df
-    row = df.agg(*[F.min(col(c)).cast("double").alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.max(col(c)).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.min(num(df, c)).alias(f"a{i}") for i, c in enumerate(cols)],
+                 *[F.max(num(df, c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     scaled = {}
     for i, c in enumerate(cols):
         lo, hi = row[f"a{i}"], row[f"b{i}"]
-        x = col(c).cast("double")
+        x = num(df, c)
         if lo is None:
             scaled[c] = x
         elif hi == lo:
@@ -270,12 +277,12 @@ def standard_scale(df: DataFrame, columns) -> DataFrame:
     cols = [c for c in known_columns(df, columns) if is_numeric(df.schema[c].dataType)]
     if not cols:
         return df
-    row = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(num(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(num(df, c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     scaled = {}
     for i, c in enumerate(cols):
         m, s = row[f"m{i}"], row[f"s{i}"]
-        x = col(c).cast("double")
+        x = num(df, c)
         if m is None:
             scaled[c] = x
         elif not s:

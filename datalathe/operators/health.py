@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datalathe.functions.types import col, dtype_name, is_datetime, is_integral, schema_fingerprint
+from datalathe.functions.types import col, dtype_name, is_datetime, is_integral, missing, schema_fingerprint
 
 CONTRACT_SCHEMA = "column_name string, rule string, passed boolean, message string"
 HISTORY_RUNS = 10
@@ -42,11 +42,11 @@ def contract_check(df: DataFrame, contract: dict) -> DataFrame:
         if rules.get("unique") is True:
             i = len(pending)
             aggs += [F.count(F.lit(1)).alias(f"r{i}"), F.count_distinct(col(name)).alias(f"d{i}"),
-                     F.count_if(col(name).isNull()).alias(f"z{i}")]
+                     F.count_if(missing(df, name)).alias(f"z{i}")]
             pending.append((name, "unique", i))
         if rules.get("nullable") is False:
             i = len(pending)
-            aggs.append(F.count_if(col(name).isNull()).alias(f"z{i}"))
+            aggs.append(F.count_if(missing(df, name)).alias(f"z{i}"))
             pending.append((name, "nullable", i))
     if aggs:
         r = df.agg(*aggs).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datalathe.functions.stats import unpivot_text
-from datalathe.functions.types import col, numeric_columns, string_columns
+from datalathe.functions.types import num, numeric_columns, string_columns
 
 # Name keywords and formats, as the reference states them.
 SUM_KEYWORDS = ["sales", "revenue", "profit", "amount", "cost", "price", "total"]
@@ -47,7 +47,7 @@ def detect_kpis(df: DataFrame) -> DataFrame:
     if rules:
         aggs = []
         for i, (kind, c, _fmt) in enumerate(rules):
-            x = col(c).cast("double")
+            x = num(df, c)
             aggs.append((F.coalesce(F.sum(x), F.lit(0.0)) if kind == "sum" else F.avg(x)).alias(f"k{i}"))
         r = df.agg(*aggs).first()
         for i, (kind, c, fmt) in enumerate(rules):

@@ -20,8 +20,11 @@ from datalathe.functions.types import (
     col,
     dtype_name,
     is_nested,
+    missing,
+    num,
     numeric_columns,
     string_columns,
+    value,
 )
 
 PREVIEW_ROWS = 50
@@ -35,7 +38,7 @@ def _groupable(df: DataFrame) -> list[str]:
 def null_counts(df: DataFrame) -> DataFrame:
     """Rows ``(column_name, dtype, rows, missing)``, exact at any size, one aggregate."""
     cols = df.columns
-    agg = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)])
+    agg = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(missing(df, c)).alias(f"z{i}") for i, c in enumerate(cols)])
     rows = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(dtype_name(df, c)).alias("dtype"),
                  F.col("rows").alias("rows"), F.col(f"z{i}").cast("long").alias("missing"))
@@ -71,12 +74,12 @@ def quality_facts(df: DataFrame) -> dict:
         return {"rows": df.count(), "duplicates": 0, "nulls": {}}
     grouped = df.groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias("__n"))
     aggs = [F.sum("__n").alias("rows"), F.sum(F.col("__n") - 1).alias("dups")]
-    aggs += [F.sum(F.when(col(c).isNull(), F.col("__n")).otherwise(0)).alias(f"z{i}") for i, c in enumerate(keys)]
+    aggs += [F.sum(F.when(missing(df, c), F.col("__n")).otherwise(0)).alias(f"z{i}") for i, c in enumerate(keys)]
     r = grouped.agg(*aggs).first()
     nulls = {c: int(r[f"z{i}"] or 0) for i, c in enumerate(keys)}
     extra = [c for c in cols if c not in keys]
     if extra:
-        z = df.agg(*[F.count_if(col(c).isNull()).alias(f"e{i}") for i, c in enumerate(extra)]).first()
+        z = df.agg(*[F.count_if(missing(df, c)).alias(f"e{i}") for i, c in enumerate(extra)]).first()
         nulls.update({c: int(z[f"e{i}"]) for i, c in enumerate(extra)})
     return {"rows": int(r["rows"] or 0), "duplicates": int(r["dups"] or 0), "nulls": {c: nulls[c] for c in cols}}
 
@@ -125,8 +128,8 @@ def column_profile(df: DataFrame, *, approx_distinct: bool = False) -> DataFrame
     cols = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
     distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     agg = df.agg(F.count(F.lit(1)).alias("rows"),
-                 *[F.count_if(col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)],
-                 *[distinct(col(c)).alias(f"u{i}") for i, c in enumerate(cols)])
+                 *[F.count_if(missing(df, c)).alias(f"z{i}") for i, c in enumerate(cols)],
+                 *[distinct(value(df, c)).alias(f"u{i}") for i, c in enumerate(cols)])
     rows = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"z{i}").cast("long").alias("missing"),
                  F.try_divide(F.col(f"z{i}") * 100.0, F.col("rows")).alias("missing_pct"),
@@ -148,7 +151,7 @@ def describe(df: DataFrame, *, approx: bool = False) -> DataFrame:
         return spark.createDataFrame([], schema)
     aggs = []
     for i, c in enumerate(nums):
-        x = col(c).cast("double")
+        x = num(df, c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     for j, c in enumerate(texts):
@@ -197,7 +200,7 @@ def correlation(df: DataFrame, columns=None) -> DataFrame:
     if not cols:
         return spark.createDataFrame([], schema)
     k = len(cols)
-    x = [col(c).cast("double") for c in cols]
+    x = [num(df, c) for c in cols]
     first = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(x)],
                    *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
     rows = first["rows"]
@@ -264,8 +267,8 @@ def histogram(df: DataFrame, columns=None, bins: int = 10) -> DataFrame:
     schema = "column_name string, bin int, range string, count long"
     if not cols:
         return spark.createDataFrame([], schema)
-    r = df.agg(*[F.min(col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-               *[F.max(col(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    r = df.agg(*[F.min(num(df, c)).alias(f"a{i}") for i, c in enumerate(cols)],
+               *[F.max(num(df, c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     grid, items = [], []
     for i, c in enumerate(cols):
         lo, hi = r[f"a{i}"], r[f"b{i}"]
@@ -274,7 +277,7 @@ def histogram(df: DataFrame, columns=None, bins: int = 10) -> DataFrame:
         edges = histogram_edges(lo, hi, bins)
         for b in range(bins):
             grid.append((i, c, b, f"{edges[b]:.2f}-{edges[b + 1]:.2f}"))
-        x = col(c).cast("double")
+        x = num(df, c)
         first, last = edges[0], edges[-1]
         norm = bins / (last - first)
         idx = F.least(F.floor((x - F.lit(first)) * F.lit(norm)).cast("int"), F.lit(bins - 1))
@@ -324,7 +327,7 @@ def boxplot(df: DataFrame, columns=None, *, approx: bool = False) -> DataFrame:
     live = [c for c in cols if q[c][0] is not None]
     aggs = []
     for i, c in enumerate(live):
-        x = col(c).cast("double")
+        x = num(df, c)
         q1, _, q3 = q[c]
         iqr = q3 - q1
         aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
@@ -342,11 +345,12 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, columns=None) -> DataFram
     return base.orderBy(F.xxhash64(F.lit(seed), *[col(c) for c in cols])).limit(n)
 
 
-def group_mean(df: DataFrame, key: str, value: str, groups: int = 10) -> DataFrame:
+def group_mean(df: DataFrame, key: str, val: str, groups: int = 10) -> DataFrame:
     """Mean of ``value`` by ``key``: the first ``groups`` keys in key order,
-    then sorted by mean descending. Rows ``(name, value)``."""
-    g = (df.filter(col(key).isNotNull()).groupBy(col(key).alias("k"))
-         .agg(F.avg(col(value).cast("double")).alias("value")))
+    then sorted by mean descending. Rows ``(name, value)``; NaN keys are
+    missing and dropped."""
+    g = (df.filter(~missing(df, key)).groupBy(value(df, key).alias("k"))
+         .agg(F.avg(num(df, val)).alias("value")))
     top = g.orderBy("k").limit(groups)
     return top.orderBy(F.col("value").desc(), F.col("k")).select(F.col("k").cast("string").alias("name"), "value")
 
@@ -391,15 +395,15 @@ def zscore_outliers(df: DataFrame, columns) -> list[tuple[str, int]]:
     cols = list(columns)
     if not cols:
         return []
-    r = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-               *[F.stddev_samp(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
-               *[F.min(col(c)).alias(f"a{i}") for i, c in enumerate(cols)],
-               *[F.max(col(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    r = df.agg(*[F.avg(num(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
+               *[F.stddev_samp(num(df, c)).alias(f"s{i}") for i, c in enumerate(cols)],
+               *[F.min(num(df, c)).alias(f"a{i}") for i, c in enumerate(cols)],
+               *[F.max(num(df, c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     live = [(i, c) for i, c in enumerate(cols)
             if r[f"a{i}"] is not None and r[f"a{i}"] != r[f"b{i}"] and r[f"s{i}"]]
     if not live:
         return []
-    z = df.agg(*[F.count_if(F.abs((col(c).cast("double") - F.lit(r[f"m{i}"])) / F.lit(r[f"s{i}"])) > 3).alias(f"o{i}")
+    z = df.agg(*[F.count_if(F.abs((num(df, c) - F.lit(r[f"m{i}"])) / F.lit(r[f"s{i}"])) > 3).alias(f"o{i}")
                  for i, c in live]).first()
     return [(c, int(z[f"o{i}"])) for i, c in live]
 

@@ -144,3 +144,22 @@ def test_approx_switches(spark):
     assert exact["x"]["p50"] == 499.5 and abs(approx["x"]["p50"] - 499.5) <= 1
     prof = {r["column_name"]: r["unique"] for r in profile.column_profile(df, approx_distinct=True).collect()}
     assert abs(prof["x"] - 1000) < 200 and prof["s"] == 3  # HyperLogLog++, 5% rsd
+
+
+def test_nan_is_missing_everywhere(frame):
+    from datalathe.operators import cleaning, health, query
+
+    df = frame([(1.0, "a"), (float("nan"), "b"), (3.0, "a"), (None, "b"), (100.0, "c")], "x double, s string")
+    d = {r["column_name"]: r for r in profile.describe(df).collect()}["x"]
+    assert (d["count"], d["max"], d["p50"]) == (3, 100.0, 3.0)
+    assert {r["column_name"]: r["missing"] for r in profile.null_counts(df).collect()}["x"] == 2
+    assert profile.quality_score(df)["missing_cells_pct"] == 20.0
+    h = profile.histogram(df).collect()
+    assert sum(r["count"] for r in h) == 3 and "nan" not in h[0]["range"]
+    kept = cleaning.remove_outliers(df, ["x"]).count()
+    assert kept == 5  # NaN and null are kept, no outlier among three values
+    filled = cleaning.fill_strategy(df, "mean").collect()
+    assert [r["x"] for r in filled][1] == pytest.approx(104 / 3)
+    assert [r["x"] for r in query.filter_rows(df, [{"col": "x", "op": ">", "val": 2}]).collect()] == [3.0, 100.0]
+    assert [r["x"] for r in query.sort_rows(df, {"x": "desc"}).collect()][:3] == [100.0, 3.0, 1.0]
+    assert health.contract_check(df, {"columns": {"x": {"nullable": False}}}).first()["passed"] is False
