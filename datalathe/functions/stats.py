@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from datalathe.functions.types import col, is_numeric
 
@@ -74,8 +73,3 @@ def mode_counts(df: DataFrame, columns) -> dict[str, tuple[str, int] | None]:
     for r in best.collect():
         out[cols[r["i"]]] = (r["m"]["s"], -r["m"]["neg"])
     return out
-
-
-def typed_literal(text: str | None, dtype: T.DataType) -> Column:
-    """A literal of ``dtype`` from its text form (exact for every flat type)."""
-    return F.lit(text).cast(dtype)

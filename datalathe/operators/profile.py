@@ -19,7 +19,6 @@ from datalathe.functions.stats import unpivot_text
 from datalathe.functions.types import (
     col,
     dtype_name,
-    is_nested,
     missing,
     num,
     numeric_columns,
@@ -472,8 +471,3 @@ def recommendation_rows(df: DataFrame) -> DataFrame:
     # the suggestion table has at most four rows
     titles = F.broadcast(recs.select("chart_id", "title"))
     return rows.join(titles, "chart_id").select("chart_id", "title", "label", "value")
-
-
-def nested_columns(df: DataFrame) -> list[str]:
-    """Struct/array/map columns, which the profile operators skip."""
-    return [f.name for f in df.schema.fields if is_nested(f.dataType)]
