@@ -123,11 +123,29 @@ def exact_quantiles(
         vals = []
         for r_lo, r_hi, frac in plans[i]:
             a, b = resolved[(i, r_lo)], resolved[(i, r_hi)]
-            vals.append(a + (b - a) * frac if frac else a)
+            vals.append(a + (b - a) * frac if frac and a != b else a)
         out[c] = vals
     return out
 
 
+def _bin_position(v, lo, hi, bins: int, finite: bool):
+    """Monotone map of values in ``[lo, hi]`` to ``0..bins-1``.
+
+    Finite brackets are split evenly (halves keep the span finite). A
+    bracket with an infinite end puts -inf and +inf in the end bins and
+    spreads finite values by ``sign(v) log2(1 + |v|)``, which is monotone and
+    bounded by about +-1024 for every double; the next round's brackets are
+    then finite."""
+    if finite:
+        pos = (v * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5) * F.lit(float(bins))
+        return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(pos).cast("int")))
+    inf = float("inf")
+    t = F.signum(v) * F.log2(F.lit(1.0) + F.abs(v))
+    mid = F.lit(1) + F.floor((t + F.lit(1025.0)) / F.lit(2050.0) * F.lit(float(bins - 2))).cast("int")
+    return (F.when(v == F.lit(-inf), F.lit(0)).when(v == F.lit(inf), F.lit(bins - 1))
+            .otherwise(F.least(F.lit(bins - 2), F.greatest(F.lit(1), mid))))
+
+
 def _probes(pending: dict) -> dict[tuple[int, float, float], int]:
     """One probe per distinct (column, bracket); ranks sharing a bracket share it."""
     probes: dict[tuple[int, float, float], int] = {}
@@ -143,10 +161,8 @@ def _tagged(df: DataFrame, cols, probes, with_bin: int | None) -> DataFrame:
         v = _value(cols[i])
         fields = [F.lit(pid).alias("p")]
         if with_bin is not None:
-            # halves keep the span finite; floor of a monotone map keeps bins ordered
-            span = F.lit(hi * 0.5 - lo * 0.5)
-            pos = (v * 0.5 - F.lit(lo * 0.5)) / span * F.lit(float(with_bin))
-            fields.append(F.least(F.lit(with_bin - 1), F.greatest(F.lit(0), F.floor(pos).cast("int"))).alias("b"))
+            finite = math.isfinite(lo) and math.isfinite(hi)
+            fields.append(_bin_position(v, F.lit(lo), F.lit(hi), with_bin, finite).alias("b"))
         fields.append(v.alias("v"))
         items.append(F.when(v.between(lo, hi), F.struct(*fields)))
     # explode, then drop the nulls: a lambda filter on the array would run
@@ -266,11 +282,13 @@ def grouped_quantiles(df: DataFrame, keys, column: str, probs, *, bins: int = BI
         if open_.isEmpty():
             break
         probes = open_.select(*key_names, "lo", "hi").distinct()
-        span = F.col("hi") * 0.5 - F.col("lo") * 0.5
-        pos = (F.col("__v") * 0.5 - F.col("lo") * 0.5) / span * F.lit(float(bins))
+        inf = F.lit(float("inf"))
+        finite = (F.abs(F.col("lo")) < inf) & (F.abs(F.col("hi")) < inf)
+        b = F.when(finite, _bin_position(F.col("__v"), F.col("lo"), F.col("hi"), bins, True)).otherwise(
+            _bin_position(F.col("__v"), F.col("lo"), F.col("hi"), bins, False))
         tagged = (base.join(join_side(probes), keys)
                   .where(F.col("__v").between(F.col("lo"), F.col("hi")))
-                  .select(*key_names, "lo", "hi", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(pos).cast("int"))).alias("b"), "__v"))
+                  .select(*key_names, "lo", "hi", b.alias("b"), "__v"))
         hist = tagged.groupBy(*key_names, "lo", "hi", "b").agg(
             F.count("*").alias("bn"), F.min("__v").alias("bmn"), F.max("__v").alias("bmx"))
         w = Window.partitionBy(*key_names, "pi", "side").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -294,6 +312,8 @@ def grouped_quantiles(df: DataFrame, keys, column: str, probs, *, bins: int = BI
     per_p = vals.groupBy(*key_names, "pi").agg(
         F.max(F.when(F.col("side") == 0, F.col("x"))).alias("a"),
         F.max(F.when(F.col("side") == 1, F.col("x"))).alias("b"), F.max("frac").alias("frac"))
-    per_p = per_p.select(*key_names, "pi", (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("q"))
+    lerp = F.when((F.col("frac") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * F.col("frac"))
+    per_p = per_p.select(*key_names, "pi", lerp.alias("q"))
     return per_p.groupBy(*key_names).agg(
         *[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(f"{prefix}{i}") for i in range(len(probs))])

@@ -9,6 +9,8 @@ from one group-by over the whole row.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,8 +273,8 @@ def histogram(df: DataFrame, columns=None, bins: int = 10) -> DataFrame:
     grid, items = [], []
     for i, c in enumerate(cols):
         lo, hi = r[f"a{i}"], r[f"b{i}"]
-        if lo is None:
-            continue
+        if lo is None or not (math.isfinite(lo) and math.isfinite(hi)):
+            continue  # no values, or a range numpy cannot bin: the column is skipped
         edges = histogram_edges(lo, hi, bins)
         for b in range(bins):
             grid.append((i, c, b, f"{edges[b]:.2f}-{edges[b + 1]:.2f}"))

@@ -163,3 +163,9 @@ def test_nan_is_missing_everywhere(frame):
     assert [r["x"] for r in query.filter_rows(df, [{"col": "x", "op": ">", "val": 2}]).collect()] == [3.0, 100.0]
     assert [r["x"] for r in query.sort_rows(df, {"x": "desc"}).collect()][:3] == [100.0, 3.0, 1.0]
     assert health.contract_check(df, {"columns": {"x": {"nullable": False}}}).first()["passed"] is False
+
+
+def test_histogram_skips_infinite_range(frame):
+    df = frame([(1.0, 1.0), (float("inf"), 2.0)], "x double, y double")
+    assert {r["column_name"] for r in profile.histogram(df).collect()} == {"y"}
+    assert profile.describe(df).filter("column_name = 'x'").first()["max"] == float("inf")

@@ -67,3 +67,25 @@ def test_modes_tie_smallest(spark):
 def test_modes_all_null(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert column_modes(df, ["x"]) == {"x": None}
+
+
+def test_infinities(spark):
+    inf = float("inf")
+    vals = [-inf, 1.0, 2.0, 3.0, inf, inf] + [float(i) for i in range(40)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = exact_quantiles(df, ["x"], probs, collect_limit=3, bins=8)["x"]
+    want = [float(np.quantile(np.array(vals), p, method="linear")) if p in (0.0, 0.5, 1.0) else None for p in probs]
+    assert got[0] == -inf and got[-1] == inf and got[2] == want[2]
+
+
+def test_grouped_infinities(spark):
+    from datalathe.functions.quantiles import grouped_quantiles
+
+    inf = float("inf")
+    rows = [("a", v) for v in [-inf, 1.0, 2.0, inf] + [float(i) for i in range(30)]]
+    g = grouped_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.0, 0.5, 1.0],
+                          collect_limit=3, bins=8).first()
+    vals = sorted(v for _, v in rows)
+    assert (g["q0"], g["q2"]) == (-inf, inf)
+    assert g["q1"] == pytest.approx(float(np.median(np.array(vals))))
