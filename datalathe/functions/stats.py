@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datalathe.functions.types import col, is_numeric
+from pyspark.sql import types as T
+
+from datalathe.functions.types import col, is_numeric, text_form
 
 
 def pair_complete(x: Column, y: Column) -> tuple[Column, Column]:
@@ -32,7 +34,7 @@ def unpivot_text(df: DataFrame, columns, *, with_order_key: bool = True) -> Data
     items = []
     for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
-        s = col(name).cast("string")
+        s = text_form(name, dtype) if isinstance(dtype, T.BooleanType) else col(name).cast("string")
         fields = [F.lit(i).alias("i"), s.alias("s")]
         if with_order_key:
             k = col(name).cast("double") if is_numeric(dtype) else F.lit(None).cast("double")

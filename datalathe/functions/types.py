@@ -54,6 +54,10 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_string(f.dataType)]
 
 
+def boolean_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
+
+
 def datetime_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_datetime(f.dataType)]
 
@@ -116,9 +120,12 @@ def text_form(name: str, dtype: T.DataType) -> Column:
 
     Doubles between 1e-4 and 1e16 are written in plain decimal like Python's
     ``str(float)`` (``123456789.0``), not Java's ``1.23456789E8``; other
-    magnitudes keep Spark's exponent form. NaN reads ``nan``.
+    magnitudes keep Spark's exponent form. NaN reads ``nan``; booleans read
+    ``True``/``False``.
     """
     c = col(name)
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     if isinstance(dtype, _FRACTIONAL):
         d = c.cast("double")
         digits = F.regexp_replace(d.cast("decimal(38,20)").cast("string"), "0+$", "")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.stats import unpivot_text
 from datalathe.functions.types import (
+    boolean_columns,
     col,
     dtype_name,
     missing,
@@ -144,7 +145,7 @@ def describe(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """One row per column. Numbers: count, mean, sample std, min, quartiles,
     max. Text: count, unique, top (ties: smallest), freq."""
     nums = numeric_columns(df)
-    texts = string_columns(df)
+    texts = string_columns(df) + boolean_columns(df)  # booleans describe like categories, as in pandas
     spark = df.sparkSession
     schema = ("column_name string, count long, mean double, std double, min double, p25 double, p50 double, "
               "p75 double, max double, unique long, top string, freq long")

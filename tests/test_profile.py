@@ -169,3 +169,13 @@ def test_histogram_skips_infinite_range(frame):
     df = frame([(1.0, 1.0), (float("inf"), 2.0)], "x double, y double")
     assert {r["column_name"] for r in profile.histogram(df).collect()} == {"y"}
     assert profile.describe(df).filter("column_name = 'x'").first()["max"] == float("inf")
+
+
+def test_describe_booleans_like_pandas(frame):
+    from datalathe.operators import cleaning
+
+    df = frame([(True,), (False,), (True,), (None,)], "b boolean")
+    r = profile.describe(df).first()
+    assert (r["column_name"], r["count"], r["unique"], r["top"], r["freq"]) == ("b", 3, 2, "True", 2)
+    assert cleaning.one_hot(df, ["b"]).columns == ["b_False", "b_True"]
+    assert cleaning.fill_strategy(df, "mode").filter("b").count() == 3
