@@ -225,10 +225,12 @@ def _fallback(df, cols, pending) -> dict:
 # ------------------------------------------------------------ per group
 
 GROUP_BROADCAST_MAX = 1_000_000
+# per-group arrays hold at most this many doubles (0.8 MB)
+GROUP_COLLECT_LIMIT = 100_000
 
 
 def grouped_quantiles(df: DataFrame, keys, column: str, probs, *, bins: int = BINS,
-                      collect_limit: int = COLLECT_LIMIT, prefix: str = "q") -> DataFrame:
+                      collect_limit: int = GROUP_COLLECT_LIMIT, prefix: str = "q") -> DataFrame:
     """Exact quantiles of ``column`` per group of ``keys``: rows
     ``(keys..., q0, q1, ...)`` (one column per probability).
 
@@ -256,6 +258,21 @@ def grouped_quantiles(df: DataFrame, keys, column: str, probs, *, bins: int = BI
 
     stats = base.groupBy(*kcols).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"),
                                      F.max("__v").alias("__hi"))
+    largest = stats.agg(F.max("__n")).first()[0] or 0
+    if largest <= collect_limit:
+        # every group is small: read each rank from one sorted array per group
+        # (at most collect_limit values, checked above)
+        arrays = base.groupBy(*kcols).agg(F.sort_array(F.collect_list("__v")).alias("__a"))
+        n = F.size("__a")
+        qs = []
+        for i, p in enumerate(probs):
+            h = (n - 1).cast("double") * F.lit(p)
+            r_lo = F.floor(h).cast("int")
+            frac = h - r_lo
+            a = F.element_at("__a", r_lo + 1)
+            b = F.element_at("__a", F.least(r_lo + 2, n))
+            qs.append(F.when((frac == 0) | (a == b), a).otherwise(a + (b - a) * frac).alias(f"{prefix}{i}"))
+        return arrays.select(*[F.col(f"`{k}`") for k in keys], *qs)
     # one row per (group, probability, side): the wanted rank and its weight
     targets = []
     for i, p in enumerate(probs):
