@@ -474,3 +474,22 @@ def recommendation_rows(df: DataFrame) -> DataFrame:
     # the suggestion table has at most four rows
     titles = F.broadcast(recs.select("chart_id", "title"))
     return rows.join(titles, "chart_id").select("chart_id", "title", "label", "value")
+
+
+def eda(df: DataFrame, *, scatter_rows: int = 500, approx: bool = False) -> dict[str, DataFrame]:
+    """The full exploratory report as DataFrames: ``description``,
+    ``correlation``, ``distributions`` (histograms), ``categorical_counts``
+    (top 10), ``scatter_data`` (a repeatable 500-row sample of the numeric
+    columns) and ``box_plot_data``. Each part is its own small plan; the
+    caller decides what to materialise."""
+    nums = numeric_columns(df)
+    out = {
+        "description": describe(df, approx=approx),
+        "correlation": correlation(df),
+        "distributions": histogram(df),
+        "categorical_counts": top_categories(df),
+        "box_plot_data": boxplot(df, approx=approx),
+    }
+    if len(nums) >= 2:
+        out["scatter_data"] = sample_rows(df, scatter_rows, columns=nums)
+    return out
