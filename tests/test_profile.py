@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from datalathe.operators import kpi, profile
@@ -179,3 +181,13 @@ def test_describe_booleans_like_pandas(frame):
     assert (r["column_name"], r["count"], r["unique"], r["top"], r["freq"]) == ("b", 3, 2, "True", 2)
     assert cleaning.one_hot(df, ["b"]).columns == ["b_False", "b_True"]
     assert cleaning.fill_strategy(df, "mode").filter("b").count() == 3
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.integers(-1000, 1000).map(lambda v: v / 7.0),
+                          st.sampled_from([0.0, 0.1, 0.3, 1e-9, -2.5])), min_size=1, max_size=80))
+def test_histogram_property_matches_numpy(spark, vals):
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r["count"] for r in profile.histogram(df).orderBy("bin").collect()]
+    counts, _ = np.histogram(np.array(vals), bins=10)
+    assert got == list(counts)
