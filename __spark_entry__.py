@@ -125,23 +125,23 @@ def q_drop_columns(spark, sf):
 
 
 def q_rename(spark, sf):
-    return cleaning.rename_columns(_docs_labels(spark, sf).drop("text"), {"lang": "language", "n_chars": "length", "nope": "x"})
+    return cleaning.rename_columns(_docs_labels(spark, sf), {"lang": "language", "n_chars": "length", "nope": "x"})
 
 
 def q_fill_mean(spark, sf):
-    return _r(cleaning.fill_strategy(_docs_labels(spark, sf).drop("text"), "mean"))
+    return _r(cleaning.fill_strategy(_docs_labels(spark, sf), "mean"))
 
 
 def q_fill_median(spark, sf):
-    return _r(cleaning.fill_strategy(_docs_labels(spark, sf).drop("text"), "median"))
+    return _r(cleaning.fill_strategy(_docs_labels(spark, sf), "median"))
 
 
 def q_fill_mode(spark, sf):
-    return cleaning.fill_strategy(_docs_labels(spark, sf).drop("text"), "mode")
+    return cleaning.fill_strategy(_docs_labels(spark, sf), "mode")
 
 
 def q_fill_value(spark, sf):
-    return cleaning.fill_value(_docs_labels(spark, sf).drop("text"), "0")
+    return cleaning.fill_value(_docs_labels(spark, sf), "0")
 
 
 def q_drop_duplicates_docs(spark, sf):
@@ -197,7 +197,7 @@ def q_quality_lineitem(spark, sf):
 
 
 def q_column_profile(spark, sf):
-    return _r(profile.column_profile(_docs_labels(spark, sf).drop("text")))
+    return _r(profile.column_profile(_docs_labels(spark, sf)))
 
 
 def q_describe(spark, sf):
@@ -505,8 +505,8 @@ def _top_sql() -> str:
 
 
 def _profile_sql() -> str:
-    cols = [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
-            ("quality", "int"), ("toxic", "int")]
+    cols = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+            ("n_chars", "bigint"), ("quality", "int"), ("toxic", "int")]
     base = _docs_labels_sql()
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing, "
@@ -672,21 +672,23 @@ def oracle_sql() -> dict[str, str]:
         "dropna": f"SELECT * FROM {dl} WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL "
                   f"AND source IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL",
         "drop_columns": f"SELECT doc_id, lang, n_chars, quality, toxic FROM {dl}",
-        "rename": f"SELECT doc_id, lang AS language, source, n_chars AS length, quality, toxic FROM {dl}",
+        "rename": f"SELECT doc_id, text, lang AS language, source, n_chars AS length, quality, toxic FROM {dl}",
         "fill_mean": f"""
-            SELECT doc_id, lang, source, n_chars,
+            SELECT doc_id, text, lang, source, n_chars,
                    round(coalesce(CAST(quality AS DOUBLE), avg(quality) OVER ()), 4) AS quality,
                    round(coalesce(CAST(toxic AS DOUBLE), avg(toxic) OVER ()), 4) AS toxic FROM {dl}""",
         "fill_median": f"""
-            SELECT doc_id, lang, source, n_chars,
+            SELECT doc_id, text, lang, source, n_chars,
                    round(coalesce(CAST(quality AS DOUBLE), quantile_cont(quality, 0.5) OVER ()), 4) AS quality,
                    round(coalesce(CAST(toxic AS DOUBLE), quantile_cont(toxic, 0.5) OVER ()), 4) AS toxic FROM {dl}""",
         "fill_mode": f"""
-            SELECT doc_id, lang, source, n_chars,
+            SELECT doc_id, text, lang, source, n_chars,
                    coalesce(quality, (SELECT quality FROM {dl} WHERE quality IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS quality,
                    coalesce(toxic, (SELECT toxic FROM {dl} WHERE toxic IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS toxic
             FROM {dl}""",
-        "fill_value": f"SELECT doc_id, lang, source, n_chars, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM {dl}",
+        "fill_value": (f"SELECT doc_id, coalesce(text, '0') AS text, coalesce(lang, '0') AS lang, "
+                       f"coalesce(source, '0') AS source, n_chars, coalesce(quality, 0) AS quality, "
+                       f"coalesce(toxic, 0) AS toxic FROM {dl}"),
         "drop_duplicates_docs": "SELECT DISTINCT text, lang FROM documents",
         "drop_duplicates_lineitem": "SELECT DISTINCT l_returnflag, l_linestatus, l_shipdate FROM lineitem",
         "iqr_outliers": """
