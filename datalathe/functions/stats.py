@@ -75,3 +75,14 @@ def mode_counts(df: DataFrame, columns) -> dict[str, tuple[str, int] | None]:
     for r in best.collect():
         out[cols[r["i"]]] = (r["m"]["s"], -r["m"]["neg"])
     return out
+
+
+def agg_in_chunks(df: DataFrame, exprs, size: int) -> dict:
+    """Run a long list of aliased aggregates ``size`` at a time (one scan per
+    chunk) and merge the single result rows: bounded plan and buffer size for
+    wide tables, same values."""
+    out: dict = {}
+    exprs = list(exprs)
+    for start in range(0, len(exprs), size):
+        out.update(df.agg(*exprs[start:start + size]).first().asDict())
+    return out

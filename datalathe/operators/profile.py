@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datalathe.functions.quantiles import exact_quantiles
-from datalathe.functions.stats import unpivot_text
+from datalathe.functions.stats import agg_in_chunks, unpivot_text
 from datalathe.functions.types import (
     boolean_columns,
     col,
@@ -30,6 +30,9 @@ from datalathe.functions.types import (
 )
 
 PREVIEW_ROWS = 50
+CORR_CHUNK = 1_500
+AGG_CHUNK = 1_500
+DISTINCT_CHUNK = 32
 
 
 def _groupable(df: DataFrame) -> list[str]:
@@ -126,19 +129,25 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 def column_profile(df: DataFrame, *, approx_distinct: bool = False) -> DataFrame:
     """Rows ``(column_name, missing, missing_pct, unique, dtype)``; ``unique``
-    skips null. ``approx_distinct`` uses HyperLogLog++ (no Expand, fixed memory)."""
+    skips null. Exact distinct counts expand each row once per column before
+    the partial aggregate, so they run ``DISTINCT_CHUNK`` columns at a time;
+    ``approx_distinct`` uses HyperLogLog++ (no expansion, fixed memory)."""
     cols = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-    agg = df.agg(F.count(F.lit(1)).alias("rows"),
-                 *[F.count_if(missing(df, c)).alias(f"z{i}") for i, c in enumerate(cols)],
-                 *[distinct(value(df, c)).alias(f"u{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"z{i}").cast("long").alias("missing"),
-                 F.try_divide(F.col(f"z{i}") * 100.0, F.col("rows")).alias("missing_pct"),
-                 F.col(f"u{i}").cast("long").alias("unique"), F.lit(dtype_name(df, c)).alias("dtype"))
-        for i, c in enumerate(cols)
-    ])
-    return agg.select(F.inline(rows)).withColumn("missing_pct", F.coalesce("missing_pct", F.lit(0.0)))
+    spark = df.sparkSession
+    schema = "column_name string, missing long, missing_pct double, unique long, dtype string"
+    base = [F.count(F.lit(1)).alias("rows"), *[F.count_if(missing(df, c)).alias(f"z{i}") for i, c in enumerate(cols)]]
+    if approx_distinct:
+        r = agg_in_chunks(df, base + [F.approx_count_distinct(value(df, c)).alias(f"u{i}") for i, c in enumerate(cols)],
+                          AGG_CHUNK)
+    else:
+        # the plain counts ride along with the first chunk of distinct counts
+        distinct = [F.count_distinct(value(df, c)).alias(f"u{i}") for i, c in enumerate(cols)]
+        r = df.agg(*base, *distinct[:DISTINCT_CHUNK]).first().asDict()
+        r.update(agg_in_chunks(df, distinct[DISTINCT_CHUNK:], DISTINCT_CHUNK))
+    rows = r["rows"]
+    out = [(c, int(r[f"z{i}"]), (r[f"z{i}"] * 100.0 / rows) if rows else 0.0, int(r[f"u{i}"]), dtype_name(df, c))
+           for i, c in enumerate(cols)]
+    return spark.createDataFrame(out, schema)
 
 
 def describe(df: DataFrame, *, approx: bool = False) -> DataFrame:
@@ -223,7 +232,9 @@ def correlation(df: DataFrame, columns=None) -> DataFrame:
                          F.sum(F.when(both, d[i])).alias(f"a{i}_{j}"), F.sum(F.when(both, d[j])).alias(f"b{i}_{j}"),
                          F.sum(F.when(both, d[i] * d[i])).alias(f"aa{i}_{j}"),
                          F.sum(F.when(both, d[j] * d[j])).alias(f"bb{i}_{j}")]
-    r = df.agg(*aggs).first()
+    # wide tables: the pair sums grow as k^2, so they run in chunks of a
+    # bounded number of expressions (exact, one scan per chunk)
+    r = agg_in_chunks(df, aggs, CORR_CHUNK)
 
     def pearson(n, sx, sy, sxx, syy, sxy):
         if not n:

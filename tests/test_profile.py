@@ -191,3 +191,14 @@ def test_histogram_property_matches_numpy(spark, vals):
     got = [r["count"] for r in profile.histogram(df).orderBy("bin").collect()]
     counts, _ = np.histogram(np.array(vals), bins=10)
     assert got == list(counts)
+
+
+def test_correlation_chunks_wide_tables(spark, monkeypatch):
+    monkeypatch.setattr(profile, "CORR_CHUNK", 7)
+    df = spark.range(60).selectExpr(*[f"CAST(id * {i + 1} + (id % {i + 2}) AS DOUBLE) AS c{i}" for i in range(6)],
+                                     "CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id % 7 AS DOUBLE) END AS n")
+    got = {(r["x"], r["y"]): r["value"] for r in profile.correlation(df).collect()}
+    pdf = df.toPandas()
+    want = pdf.corr()
+    for (a, b), v in got.items():
+        assert v == pytest.approx(want.loc[a, b], rel=1e-9, abs=1e-12)
