@@ -167,7 +167,7 @@ def describe(df: DataFrame, *, approx: bool = False) -> DataFrame:
                  F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     for j, c in enumerate(texts):
         aggs += [F.count(col(c)).alias(f"tn{j}")]
-    r = df.agg(*aggs).first()
+    r = agg_in_chunks(df, aggs, AGG_CHUNK)
     known = {c: (r[f"n{i}"], r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(nums)}
     quart = exact_quantiles(df, nums, [0.25, 0.5, 0.75], approx=approx, known=known) if nums else {}
     tops = _value_counts_summary(df, texts) if texts else {}
@@ -280,8 +280,8 @@ def histogram(df: DataFrame, columns=None, bins: int = 10) -> DataFrame:
     schema = "column_name string, bin int, range string, count long"
     if not cols:
         return spark.createDataFrame([], schema)
-    r = df.agg(*[F.min(num(df, c)).alias(f"a{i}") for i, c in enumerate(cols)],
-               *[F.max(num(df, c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    r = agg_in_chunks(df, [F.min(num(df, c)).alias(f"a{i}") for i, c in enumerate(cols)]
+                      + [F.max(num(df, c)).alias(f"b{i}") for i, c in enumerate(cols)], AGG_CHUNK)
     grid, items = [], []
     for i, c in enumerate(cols):
         lo, hi = r[f"a{i}"], r[f"b{i}"]
@@ -345,7 +345,7 @@ def boxplot(df: DataFrame, columns=None, *, approx: bool = False) -> DataFrame:
         iqr = q3 - q1
         aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
                  F.count_if((x < F.lit(q1 - 1.5 * iqr)) | (x > F.lit(q3 + 1.5 * iqr))).alias(f"o{i}")]
-    r = df.agg(*aggs).first() if aggs else None
+    r = agg_in_chunks(df, aggs, AGG_CHUNK) if aggs else None
     rows = [(c, r[f"a{i}"], q[c][0], q[c][1], q[c][2], r[f"b{i}"], r[f"o{i}"]) for i, c in enumerate(live)]
     return spark.createDataFrame(rows, schema)
 
