@@ -202,3 +202,10 @@ def test_correlation_chunks_wide_tables(spark, monkeypatch):
     want = pdf.corr()
     for (a, b), v in got.items():
         assert v == pytest.approx(want.loc[a, b], rel=1e-9, abs=1e-12)
+
+
+def test_kpi_averages_and_percent(frame):
+    df = frame([(4.0, 10.0, 1.0, "x"), (5.0, 30.0, 3.0, "y")], "rating double, win_percent double, other double, s string")
+    rows = {r["kpi_id"]: (r["value"], r["format"]) for r in kpi.detect_kpis(df).collect()}
+    assert rows["avg_rating"] == (4.5, "number") and rows["avg_win_percent"] == (20.0, "percent")
+    assert "top_s" in rows and len(rows) == 3

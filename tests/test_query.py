@@ -106,3 +106,18 @@ def test_grouped_median_matches_numpy(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     out = {r["k"]: r["v"] for r in query.group_aggregate(df, ["k"], {"v": "median"}).collect()}
     assert out == {"hot": float(np.median(range(50))), "a": 3.0, "b": 3.0}
+
+
+def test_text_form_like_python(frame):
+    from datalathe.functions.types import text_form
+
+    vals = [1e10, 0.5, 1.0, 123456789.25, 1e-05, None]
+    df = frame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(text_form("x", df.schema["x"].dataType)).collect()]
+    assert got[:4] == [str(v) for v in vals[:4]] and got[5] is None
+    assert float(got[4]) == 1e-05
+
+
+def test_phrase_with_spaced_column_names(frame):
+    df = frame([(1, 5.0), (2, 50.0)], "id int, x double").toDF("order id", "unit price")
+    assert [r["order id"] for r in phrase.phrase_filter(df, "show rows where unit price > 10").collect()] == [2]
