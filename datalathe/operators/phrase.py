@@ -2,9 +2,10 @@
 becomes a Column; a phrase that does not read as conditions falls back to a
 keyword search over every column.
 
-The grammar is deliberately small: conditions ``column op value`` joined by
-``and`` / ``or`` (``and`` binds tighter). Column names are matched longest
-first and in any case; constants keep their case.
+The grammar is deliberately small: conditions ``column op value`` or
+``column op column`` joined by ``and`` / ``or`` / ``&`` / ``|`` (``and``
+binds tighter). Column names are matched longest first and in any case;
+constants keep their case.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datalathe.functions.types import flat_columns, text_form
+from datalathe.functions.types import flat_columns, text_form, value
 from datalathe.operators.query import compare
 
 # Filler words removed from a phrase, and the spellings of
@@ -41,8 +42,16 @@ class PhraseError(ValueError):
 
 
 def _split_bool(text: str) -> list[list[str]]:
-    """``a and b or c`` -> ``[[a, b], [c]]`` (OR of ANDs), outside quotes."""
-    parts = re.split(r"""\s+(and|or)\s+(?=(?:[^'"]*['"][^'"]*['"])*[^'"]*$)""", text, flags=re.IGNORECASE)
+    """``a and b or c`` -> ``[[a, b], [c]]`` (OR of ANDs), outside quotes;
+    ``&`` and ``|`` are read as ``and`` / ``or`` as in pandas' query."""
+    parts = re.split(r"""\s*(?:\s(and|or)\s|(&|\|))\s*(?=(?:[^'"]*['"][^'"]*['"])*[^'"]*$)""", text,
+                     flags=re.IGNORECASE)
+    # re.split gives [text, word-or-None, symbol-or-None, text, ...]; fold to [text, op, text, ...]
+    folded = [parts[0]]
+    for i in range(1, len(parts), 3):
+        op = (parts[i] or {"&": "and", "|": "or"}[parts[i + 1]])
+        folded += [op, parts[i + 2]]
+    parts = folded
     groups, cur = [], [parts[0]]
     for i in range(1, len(parts), 2):
         if parts[i].lower() == "and":
@@ -79,13 +88,27 @@ def _condition(df: DataFrame, text: str, names: list[str]) -> Column:
                 tail = rest[len(spelling):]
                 if spelling[0].isalpha() and tail and not tail[0].isspace():
                     continue
-                value = tail.strip()
-                if not value:
+                rhs = tail.strip()
+                if not rhs:
                     raise PhraseError(f"no value after {spelling!r}")
-                return compare(df, name, op, _value(value))
+                other = next((c for c in names if c.lower() == rhs.lower()), None)
+                if other is not None and other != name:
+                    return _compare_columns(df, name, op, other)
+                return compare(df, name, op, _value(rhs))
     raise PhraseError(f"cannot read condition {text!r}")
 
 
+def _compare_columns(df: DataFrame, left: str, op: str, right: str) -> Column:
+    """``column op column`` (pandas' query allows it); NaN and null match
+    nothing except ``!=``."""
+    a, b = value(df, left), value(df, right)
+    if op == "==":
+        return a == b
+    if op == "!=":
+        return ~a.eqNullSafe(b)
+    return {">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op]
+
+
 def phrase_condition(df: DataFrame, phrase: str) -> Column:
     """The Column a phrase stands for; raises :class:`PhraseError`."""
     text = strip_filler(phrase)

@@ -121,3 +121,12 @@ def test_text_form_like_python(frame):
 def test_phrase_with_spaced_column_names(frame):
     df = frame([(1, 5.0), (2, 50.0)], "id int, x double").toDF("order id", "unit price")
     assert [r["order id"] for r in phrase.phrase_filter(df, "show rows where unit price > 10").collect()] == [2]
+
+
+def test_phrase_columns_and_symbols(frame):
+    df = frame([(1, 5.0, 3.0), (2, 2.0, 4.0), (3, None, 1.0)], "id int, price double, cost double")
+    ids = lambda t: sorted(r["id"] for r in phrase.phrase_filter(df, t).collect())
+    assert ids("price > cost") == [1]
+    assert ids("price != cost") == [1, 2, 3]
+    assert ids("price > 1 & cost > 3") == [2]
+    assert ids("price > 4 | cost < 2") == [1, 3]
