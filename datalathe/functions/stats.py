@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from datalathe.functions.types import col, is_numeric, text_form
+from datalathe.functions.types import col, is_numeric, missing, text_form
 
 
 def pair_complete(x: Column, y: Column) -> tuple[Column, Column]:
@@ -39,7 +39,7 @@ def unpivot_text(df: DataFrame, columns, *, with_order_key: bool = True) -> Data
         if with_order_key:
             k = col(name).cast("double") if is_numeric(dtype) else F.lit(None).cast("double")
             fields.append(k.alias("k"))
-        items.append(F.when(col(name).isNotNull(), F.struct(*fields)))
+        items.append(F.when(~missing(df, name), F.struct(*fields)))  # NaN is missing, as in pandas
     # explode then drop nulls (a lambda filter would leave whole-stage codegen)
     return df.select(F.explode(F.array(*items)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
 

@@ -239,8 +239,7 @@ def one_hot(df: DataFrame, columns, *, max_values: int = ONE_HOT_MAX) -> DataFra
             continue
         dtype = out.schema[c].dataType
         vals = (
-            out.select(col(c).alias("v"), text_form(c, dtype).alias("t"))
-            .where(F.col("v").isNotNull())
+            out.where(~missing(out, c)).select(col(c).alias("v"), text_form(c, dtype).alias("t"))
             .groupBy("v", "t").agg(F.lit(1).alias("_"))
             .orderBy("v").limit(max_values + 1).collect()
         )

@@ -108,3 +108,12 @@ def test_clean_descriptions(nulls):
     assert d == "Filled Missing Values (mean)"
     _, d = cleaning.clean(nulls, "normalize", columns=["x"], strategy="minmax")
     assert d == "Normalized Columns (minmax)"
+
+
+def test_nan_is_not_a_category(frame):
+    nan = float("nan")
+    df = frame([(1.0,), (nan,), (nan,), (nan,), (1.0,), (2.0,), (None,)], "x double")
+    assert cleaning.one_hot(df, ["x"]).columns == ["x_1.0", "x_2.0"]
+    filled = cleaning.fill_strategy(df, "mode").collect()
+    # the mode is 1.0 (NaN is not a value); NaN and null both get filled, as pandas fills NaN
+    assert [r["x"] for r in filled][-1] == 1.0 and sum(1 for r in filled if r["x"] == 1.0) == 6
