@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalathe.functions.types import col, text_form
+from datalathe.functions.types import col, missing, text_form
 from datalathe.operators.profile import null_counts
 
 WIDGET_ROWS = 50
@@ -15,16 +15,16 @@ UNKNOWN = "Unknown"
 def widget_data(df: DataFrame, x: str, y: str | None = None, aggregation: str = "count",
                 chart_type: str = "bar", limit: int = WIDGET_ROWS) -> DataFrame:
     """Rows ``(name, value)``: rows grouped by the text form of ``x``
-    (missing or empty -> ``Unknown``), then ``count``, ``sum`` or a true
-    ``avg`` of ``y`` (values that are not numbers count as 0). Sorted by
+    (missing, NaN or empty -> ``Unknown``), then ``count``, ``sum`` or a true
+    ``avg`` of ``y`` (values that are not numbers, or NaN, count as 0). Sorted by
     value descending (ties by name) except line charts, which keep key
     order."""
     key = text_form(x, df.schema[x].dataType)
-    key = F.when(key.isNull() | (key == ""), F.lit(UNKNOWN)).otherwise(key)
+    key = F.when(missing(df, x) | (key == ""), F.lit(UNKNOWN)).otherwise(key)
     if aggregation == "count" or y is None:
         value = F.count(F.lit(1)).cast("double")
     else:
-        v = F.coalesce(col(y).try_cast("double"), F.lit(0.0))
+        v = F.coalesce(F.nanvl(col(y).try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
         if aggregation == "sum":
             value = F.sum(v)
         elif aggregation == "avg":
@@ -40,7 +40,8 @@ def scatter_widget(df: DataFrame, x: str, y: str, z: str | None = None) -> DataF
     """Rows ``(x, y, z)`` as numbers; missing x/y read 0, z defaults to 1;
     rows whose x or y is not a number are dropped."""
     def num(name, default):
-        return F.when(col(name).isNull(), F.lit(default)).otherwise(col(name).try_cast("double"))
+        # missing (null, NaN) reads as the default; text that is not a number stays null and is dropped
+        return F.when(missing(df, name), F.lit(default)).otherwise(col(name).try_cast("double"))
     zz = num(z, 1.0) if z else F.lit(1.0)
     out = df.select(num(x, 0.0).alias("x"), num(y, 0.0).alias("y"), zz.alias("z"))
     return out.filter(F.col("x").isNotNull() & F.col("y").isNotNull())

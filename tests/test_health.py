@@ -67,3 +67,12 @@ def test_widgets(frame):
     assert len(sc) == 4  # "x" is not a number; the null reads 0
     ov = widgets.overview(df).first()
     assert (ov["rows"], ov["columns"], ov["missing_cells"]) == (5, 2, 2)
+
+
+def test_widgets_nan_reads_like_missing(frame):
+    nan = float("nan")
+    df = frame([(nan, 2.0), (1.0, nan), (1.0, 4.0)], "k double, v double")
+    got = {r["name"]: r["value"] for r in widgets.widget_data(df, "k", "v", "sum").collect()}
+    assert got == {"Unknown": 2.0, "1.0": 4.0}
+    sc = sorted(tuple(r) for r in widgets.scatter_widget(df, "k", "v").collect())
+    assert sc == [(0.0, 2.0, 1.0), (1.0, 0.0, 1.0), (1.0, 4.0, 1.0)]
