@@ -18,7 +18,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException, ParseException
 
@@ -94,16 +94,13 @@ class Workspace:
 
     # ------------------------------------------------------------- snapshots
     def save_snapshot(self, df: DataFrame, dataset_id: str) -> str:
-        return self._write_snapshot(df, dataset_id)[0]
-
-    def _write_snapshot(self, df: DataFrame, dataset_id: str) -> tuple[str, int]:
-        """Write a snapshot; its row count is observed during the write
-        (no second job re-reads the files)."""
+        # the row count is read back from the written files (an Observation on
+        # the write would save that job, but once used it leaves the session's
+        # ML models unserialisable in Spark 4.1)
         stamp = _now().strftime("%Y%m%d_%H%M%S_%f")
         path = f"{self.root}/snapshots/{dataset_id}/{stamp}_{uuid.uuid4().hex[:8]}"
-        obs = Observation(f"snapshot_{uuid.uuid4().hex[:8]}")
-        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
-        return path, int(obs.get["rows"])
+        df.write.mode("errorifexists").parquet(path)
+        return path
 
     def read_snapshot(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path)
@@ -134,9 +131,9 @@ class Workspace:
     def snapshot(self, df: DataFrame, dataset_id: str) -> tuple[DataFrame, str, str]:
         """Write a snapshot, log its run, and return the frame read back
         (a lineage cut), the path and the run id."""
-        path, rows = self._write_snapshot(df, dataset_id)
+        path = self.save_snapshot(df, dataset_id)
         back = self.read_snapshot(path)
-        run = self.log_run(dataset_id, back, path, row_count=rows)
+        run = self.log_run(dataset_id, back, path)
         return back, path, run
 
     def revert(self, snapshot_path: str, dataset_id: str) -> tuple[DataFrame, str]:
