@@ -633,6 +633,10 @@ def _charts_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_sql() | LLM_ORACLE
+
+
+def _own_sql() -> dict[str, str]:
     dl = _docs_labels_sql()
     return {
         "builder_pricing_summary": f"""
@@ -819,8 +823,15 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+try:  # the corpus operators are an optional subpackage
+    from datalathe.llm.queries import ORACLE as LLM_ORACLE
+    from datalathe.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_ORACLE, LLM_QUERIES = {}, {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | LLM_QUERIES
 
 
 def entry(spark: SparkSession) -> DataFrame:
