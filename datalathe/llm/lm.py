@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalathe.llm.counts import COUNT_BLOCK_BYTES, pack_words, unpack_words
+from datalathe.llm.counts import pack_words, unpack_words
 from datalathe.llm.text import (LOWER, arrow_type, distinct_spans, mix, shards, squeeze, stored, text_blocks, two_columns,
                                 unsqueeze, word_spans)
 from datalathe.llm.trie import BigramTrie
@@ -47,7 +47,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for k, texts in enumerate(text_blocks(batches, COUNT_BLOCK_BYTES)):
+        for k, texts in enumerate(text_blocks(batches)):
             starts, ends, from_ = word_spans(texts)
             # after each text's words its end: a byte that is no part of a word
             at = from_[1:]
@@ -152,8 +152,9 @@ def _bigrams(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     return stored(out, "lm-bigrams"), total, known
 
 
-def _shard_table(rows: pd.DataFrame, total: int, known: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict]:
-    """The trie of a shard's bigrams, and its queries: contexts and words (as places), log10 P(word) and c(context)."""
+def _shard_table(rows: pd.DataFrame, total: int, known: int) -> tuple:
+    """The trie of a shard's bigrams, and its distinct queries: contexts and words (as places), log10 P(word) and
+    c(context); then the query of each entry of the rows, and the rows' values."""
     got = {v: [unsqueeze(x) for x in rows[v]] for v in VALUES}
     context = np.concatenate([np.repeat(c, n) for c, n in zip(got["contexts"], got["context_words"], strict=True)])
     context_n = np.concatenate([np.repeat(c, n) for c, n in zip(got["context_n"], got["context_words"], strict=True)])
@@ -165,17 +166,20 @@ def _shard_table(rows: pd.DataFrame, total: int, known: int) -> tuple[bytes, np.
     word, word_n, train = np.concatenate(word), np.concatenate(got["word_n"]), np.concatenate(got["train"])
     contexts, context = np.unique(context, return_inverse=True)
     words, word = np.unique(word, return_inverse=True)
+    got["words"].clear()
     log_word = np.log10((word_n + 0.5) / (total + 0.5 * (known + 1)))
-    key = context * len(words) + word
-    distinct, at, number = np.unique(key, return_index=True, return_inverse=True)
-    count = np.zeros(len(distinct), np.int64)
-    np.add.at(count, number, train)
+    order = np.argsort(context * len(words) + word, kind="stable")
+    new = np.append(True, (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1]))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    count = np.add.reduceat(train[order], np.flatnonzero(new))
     there = np.flatnonzero(count > 0)
-    at = at[there]
+    at = first[there]
     log_p = np.log10((count[there] + MU * 10 ** log_word[at]) / (context_n[at] + MU))
     _, one = np.unique(context[at], return_index=True)
     trie = BigramTrie.build(context[at], word[at], log_p, np.log10(MU / (context_n[at][one] + MU)), len(contexts), len(words))
-    return trie, context, word, log_word, context_n, got
+    return trie, context[first], word[first], log_word[first], context_n[first], number, got
 
 
 def lm_tries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,10 +205,10 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = blocks.schema["ids"].dataType.elementType
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        buffer, context, word, log_word, context_n, got = _shard_table(rows, total, known)
+        buffer, context, word, log_word, context_n, number, got = _shard_table(rows, total, known)
         log_p, backoff = BigramTrie(buffer).query(context, word)
         backoff = np.where(np.isnan(backoff), np.log10(MU / (context_n + MU)), backoff)
-        log_p = np.where(np.isnan(log_p), backoff + log_word, log_p)
+        log_p = np.where(np.isnan(log_p), backoff + log_word, log_p)[number]
         sums, at = [], 0
         for seen, docs in zip(got["seen"], got["docs"], strict=True):
             n = int(docs.max()) + 1 if len(docs) else 0

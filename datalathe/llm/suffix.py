@@ -1,6 +1,6 @@
 """Removal of long repeated byte strings with families of suffix arrays.
 
-A 64-byte string chosen by hash inside each 200-byte window (its anchor) tells
+A 40-byte string chosen by hash inside each 200-byte window (its anchor) tells
 where equal windows can be: they have the same anchor at the same offset.
 Windows with one anchor form a stretch. Stretches with an anchor that occurs
 once are unique. Equal stretches are repeated as a whole. Of the rest, cut into
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from datalathe.llm.text import arrow_type, gather, mix, powers, span_hashes, stored, text_blocks, _BASE, _TABLES
 
 #: Bytes of an anchor; windows of a run.
-ANCHOR, RUN = 64, 16
+ANCHOR, RUN = 40, 16
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,19 +134,23 @@ def repeated_strings(df: DataFrame, depth: int = 200, id_col: str = "doc_id", te
         for texts in text_blocks(batches):
             text, first, last, anchor, key = stretches(texts.buf, texts.offsets, depth)
             base = texts.offsets[text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(np.array(texts.ids, np.int64)[text]), pa.array((first - base).astype(np.int32)),
-                 pa.array((last - base).astype(np.int32)), pa.array((anchor - base).astype(np.int32))], names=["key", "rid", "first", "last", "anchor"])
+            # first window, number of windows and the anchor's offset in one number
+            place = (first - base) << 24 | (last - first) << 12 | (anchor - first)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.array(texts.ids, np.int64)[text]), pa.array(place)],
+                                             names=["key", "rid", "place"])
 
-    found = stored(docs.select("rid", "text").mapInArrow(anchors, "key bigint, rid bigint, first int, last int, anchor int"), "anchors")
+    found = stored(docs.select("rid", "text").mapInArrow(anchors, "key bigint, rid bigint, place bigint"), "anchors")
     twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    per_text = found.join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("key", "first", "last", "anchor")).alias("own"))
+    per_text = found.join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("key", "place")).alias("own"))
+    per_text = stored(per_text, "anchors-again")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes and a 128-bit hash of each stretch whose anchor occurs again."""
         for batch in batches:
             own = batch.column(2)
-            flat = {f: own.flatten().field(f).to_numpy() for f in ("key", "first", "last", "anchor")}
+            place = own.flatten().field("place").to_numpy()
+            flat = {"key": own.flatten().field("key").to_numpy(), "first": (place >> 24).astype(np.int32),
+                    "last": ((place >> 24) + (place >> 12 & 4095)).astype(np.int32), "anchor": ((place >> 24) + (place & 4095)).astype(np.int32)}
             number = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
             for texts in text_blocks(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), batch.column(1)], names=["i", "t"])])):
                 mine = (number >= texts.ids[0]) & (number <= texts.ids[-1])
@@ -170,7 +174,8 @@ def repeated_strings(df: DataFrame, depth: int = 200, id_col: str = "doc_id", te
     stretch = stored(per_text.join(docs, "rid").select("rid", "text", "own").mapInArrow(
         cut, "key bigint, rid bigint, first int, last int, anchor int, one bigint, two bigint, bytes binary"), "stretches")
     classes = stored(stretch.groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first")).alias("holder")), "stretch-classes")
-    whole = stretch.join(classes.where("n > 1"), ["key", "one", "two"], "left_semi").select("rid", "first", "last")
+    whole = stored(stretch.select("key", "one", "two", "rid", "first", "last").join(classes.where("n > 1"), ["key", "one", "two"], "left_semi")
+                   .select("rid", "first", "last"), "whole-repeats")
 
     # keys with a stretch that occurs once beside others: one holder of each class
     mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key")
@@ -211,7 +216,7 @@ def repeated_strings(df: DataFrame, depth: int = 200, id_col: str = "doc_id", te
     run = stored(stretch.join(holders, ["rid", "first"]).select("rid", "first", "last", "anchor", "open", "bytes").mapInArrow(
         runs, "core bigint, run bigint, rid bigint, first int, last int, open boolean, bytes binary"), "runs")
     kinds = stored(run.groupBy("core", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first")).alias("holder"), F.max("open").alias("open")), "run-classes")
-    equal = run.where("open").join(kinds.where("n > 1"), ["core", "run"], "left_semi").select("rid", "first", "last")
+    equal = run.where("open").select("core", "run", "rid", "first", "last").join(kinds.where("n > 1"), ["core", "run"], "left_semi").select("rid", "first", "last")
     # cores with a run that occurs once, in an open stretch, beside other runs: the borders of repeats
     borders = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("open") & (F.col("n") == 1)).alias("some")).where("m > 1 and some").select("core")
     border_runs = kinds.join(borders, "core", "left_semi").select("core", "holder.rid", "holder.first", (F.col("open") & (F.col("n") == 1)).alias("asked"))

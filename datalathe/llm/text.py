@@ -4,6 +4,7 @@ found by sorting 64-bit hashes (a second hash guards against collisions)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,10 +174,10 @@ def shards(spark: SparkSession) -> int:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the cluster's shared folder and read it again: cuts the lineage, and later stages
-    read the same rows even when executors are lost."""
-    import uuid
-
+    read the same rows even when executors are lost. The shuffles behind it are not needed any more; Spark removes
+    their files once the driver has collected its garbage, so that is asked for."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

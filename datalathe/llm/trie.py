@@ -11,6 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 MAGIC = 0x45465452494531
+#: How many bits of a byte are set, and where its k-th one is.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+COUNT = BITS.sum(axis=1, dtype=np.uint8)
+PLACE = np.argsort(1 - BITS, axis=1, kind="stable").astype(np.uint8)
 
 
 def _pad(parts: list[np.ndarray]) -> bytes:
@@ -34,11 +38,10 @@ class EliasFano:
         n = len(values)
         bits = max(0, (universe // max(1, n)).bit_length() - 1)
         values = values.astype(np.uint64)
-        if bits:
-            planes = (values[:, None] >> np.arange(bits, dtype=np.uint64)[None, :] & np.uint64(1)).astype(np.uint8)
-            packed = np.packbits(planes.reshape(-1), bitorder="little")
-        else:
-            packed = np.zeros(0, np.uint8)
+        packed = np.zeros(0, np.uint8)
+        if bits:  # a multiple of eight values ends at a byte
+            planes = [(values[a:a + (1 << 16), None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8) for a in range(0, n, 1 << 16)]
+            packed = np.concatenate([np.packbits(x.reshape(-1), bitorder="little") for x in planes])
         low = np.frombuffer(packed.tobytes() + b"\0" * (-len(packed) % 8 + 8), "<u8")
         place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = int(universe >> bits) + n + 2
@@ -57,9 +60,11 @@ class EliasFano:
             word = np.searchsorted(rank, own, "right") - 1
             value = self.high[word]
             value = ~value if flip else value
-            bits = np.unpackbits(value.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            seen = np.cumsum(bits, axis=1, dtype=np.int16)
-            out[a:a + (1 << 15)] = word * 64 + (seen <= (own - rank[word])[:, None]).sum(axis=1)
+            octets = value.astype("<u8").view(np.uint8).reshape(-1, 8)
+            seen, rest, row = np.cumsum(COUNT[octets], axis=1, dtype=np.uint8), own - rank[word], np.arange(len(own))
+            octet = (seen <= rest[:, None]).sum(axis=1)
+            inside = octets[row, octet]
+            out[a:a + (1 << 15)] = word * 64 + octet * 8 + PLACE[inside, rest - (seen[row, octet] - COUNT[inside])]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
