@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datalathe.llm.counts import pack_words, unpack_words
-from datalathe.llm.text import (LOWER, arrow_type, distinct_spans, mix, shards, squeeze, stored, text_blocks, two_columns,
+from datalathe.llm.text import (LOWER, arrow_type, distinct_spans, forget, mix, shards, squeeze, stored, text_blocks, two_columns,
                                 unsqueeze, word_spans)
 from datalathe.llm.trie import BigramTrie
 
+#: Bytes of text in a block.
+LM_BLOCK_BYTES = 6 << 20
 #: Weight of the unigram distribution in a bigram's.
 MU = 4.0
 #: A context with more training tokens is divided by its successors' hashes into parts of about this many tokens.
@@ -47,7 +49,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for k, texts in enumerate(text_blocks(batches)):
+        for k, texts in enumerate(text_blocks(batches, LM_BLOCK_BYTES)):
             starts, ends, from_ = word_spans(texts)
             # after each text's words its end: a byte that is no part of a word
             at = from_[1:]
@@ -149,7 +151,9 @@ def _bigrams(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     out = blocks.drop("vocabulary").join(per_block, "block").select("block", "ids", "held", "n_tokens", "tokens", "words").mapInArrow(pairs, f"""
         block string, ids array<{kind.simpleString()}>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>,
         bigrams array<struct<shard int, {", ".join(f"{v} binary" for v in VALUES)}>>""")
-    return stored(out, "lm-bigrams"), total, known
+    out = stored(out, "lm-bigrams")
+    forget(blocks, counted)
+    return out, total, known
 
 
 def _shard_table(rows: pd.DataFrame, total: int, known: int) -> tuple:

@@ -1,6 +1,6 @@
 """Removal of long repeated byte strings with families of suffix arrays.
 
-A 40-byte string chosen by hash inside each 200-byte window (its anchor) tells
+A 64-byte string chosen by hash inside each 200-byte window (its anchor) tells
 where equal windows can be: they have the same anchor at the same offset.
 Windows with one anchor form a stretch. Stretches with an anchor that occurs
 once are unique. Equal stretches are repeated as a whole. Of the rest, cut into
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalathe.llm.text import arrow_type, gather, mix, powers, span_hashes, stored, text_blocks, _BASE, _TABLES
+from datalathe.llm.text import arrow_type, forget, gather, mix, powers, span_hashes, stored, text_blocks, _BASE, _TABLES
 
 #: Bytes of an anchor; windows of a run.
-ANCHOR, RUN = 40, 16
+ANCHOR, RUN = 64, 16
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +143,7 @@ def repeated_strings(df: DataFrame, depth: int = 200, id_col: str = "doc_id", te
     twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     per_text = found.join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("key", "place")).alias("own"))
     per_text = stored(per_text, "anchors-again")
+    forget(found)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes and a 128-bit hash of each stretch whose anchor occurs again."""
@@ -215,6 +216,7 @@ def repeated_strings(df: DataFrame, depth: int = 200, id_col: str = "doc_id", te
 
     run = stored(stretch.join(holders, ["rid", "first"]).select("rid", "first", "last", "anchor", "open", "bytes").mapInArrow(
         runs, "core bigint, run bigint, rid bigint, first int, last int, open boolean, bytes binary"), "runs")
+    forget(per_text, stretch, classes)
     kinds = stored(run.groupBy("core", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first")).alias("holder"), F.max("open").alias("open")), "run-classes")
     equal = run.where("open").select("core", "run", "rid", "first", "last").join(kinds.where("n > 1"), ["core", "run"], "left_semi").select("rid", "first", "last")
     # cores with a run that occurs once, in an open stretch, beside other runs: the borders of repeats
@@ -244,7 +246,9 @@ def repeated_strings(df: DataFrame, depth: int = 200, id_col: str = "doc_id", te
 
     border = run.select("core", "rid", "first", "bytes").join(border_runs, ["core", "rid", "first"]).repartition("core") \
         .select("core", "rid", "first", "asked", "bytes").mapInArrow(family, "rid bigint, first int, last int")
-    spans = stored(whole.unionByName(equal).unionByName(border), "repeats").groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    repeats = stored(whole.unionByName(equal).unionByName(border), "repeats")
+    forget(run, kinds, whole)
+    spans = repeats.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
