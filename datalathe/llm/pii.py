@@ -78,7 +78,8 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "rid", "kind", "at", F.col("m.gaps").alias("gap"), F.col("m.found").alias("text"), F.regexp_replace(F.trim("m.before"), r"\s+", " ").alias("pattern"))
     order = Window.partitionBy("rid", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.where("text is not null").withColumn("end", F.sum(F.col("gap") + F.char_length("text")).over(order)) \
-        .withColumn("start", F.col("end") - F.char_length("text")).withColumn("valid", F.coalesce(_valid(F.col("kind"), F.col("text")), F.lit(False)))
+        .withColumn("start", F.col("end") - F.char_length("text")).withColumn("valid", F.coalesce(_valid(F.col("kind"), F.col("text")), F.lit(False))) \
+        .where((F.col("kind") != "card") | F.char_length(_digits(F.col("text"))).between(14, 19))
     # a token without the punctuation around it
     core = F.regexp_extract("text", r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)
     lead = F.char_length(F.regexp_extract("text", r"^[^A-Za-z0-9]*", 0))
