@@ -337,10 +337,16 @@ def q_csv_roundtrip(spark, sf):
     return _r(files.load_csv(spark, path))
 
 
+def q_csv_documents(spark, sf):
+    """Texts with quotes, commas and newlines, through the default writer and reader."""
+    path = files.write_csv(_t(spark, sf, "documents"), _scratch(spark, "csv"))
+    return files.load_csv(spark, path)
+
+
 def q_json_roundtrip(spark, sf):
     path = _scratch(spark, "json")
     _t(spark, sf, "customer").write.json(path)
-    return _r(files.load_json_records(spark, path, multi_line=False).select(
+    return _r(files.load(spark, path, "json").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
 
@@ -419,6 +425,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_diff": q_snapshot_diff,
     "feature_apply": q_feature_apply,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_documents": q_csv_documents,
     "json_roundtrip": q_json_roundtrip,
     "step_history": q_step_history,
 }
@@ -750,18 +757,18 @@ def _own_sql() -> dict[str, str]:
         "chart_group_mean": """
             SELECT name, round(value, 4) AS value FROM (
               SELECT CAST(o_orderstatus AS VARCHAR) AS name, avg(CAST(o_orderkey AS DOUBLE)) AS value FROM orders
-              WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 10) ORDER BY value DESC, name""",
+              WHERE o_orderstatus IS NOT NULL GROUP BY 1) ORDER BY value DESC, name""",
         "widget_avg": """
             SELECT CASE WHEN event_type IS NULL OR event_type = '' THEN 'Unknown' ELSE event_type END AS name,
                    round(avg(coalesce(TRY_CAST(value AS DOUBLE), 0.0)), 4) AS value
-            FROM events GROUP BY 1 ORDER BY value DESC, name LIMIT 50""",
+            FROM events GROUP BY 1 ORDER BY value DESC, name""",
         "widget_sum": """
             SELECT CASE WHEN o_orderpriority IS NULL OR o_orderpriority = '' THEN 'Unknown' ELSE o_orderpriority END AS name,
                    round(sum(coalesce(TRY_CAST(o_totalprice AS DOUBLE), 0.0)), 2) AS value
-            FROM orders GROUP BY 1 ORDER BY value DESC, name LIMIT 50""",
+            FROM orders GROUP BY 1 ORDER BY value DESC, name""",
         "widget_line": """
             SELECT CAST(user_id AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM events
-            GROUP BY 1 ORDER BY name LIMIT 50""",
+            GROUP BY 1""",
         "scatter_widget": """
             SELECT coalesce(CAST(user_id AS DOUBLE), 0.0) AS x, round(coalesce(value, 0.0), 4) AS y, CAST(1.0 AS DOUBLE) AS z FROM events""",
         "overview": f"""
@@ -811,6 +818,8 @@ def _own_sql() -> dict[str, str]:
         "csv_roundtrip": """
             SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
                    round(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders""",
+        "csv_documents": ("SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang, source, CAST(n_chars AS INTEGER) AS n_chars "
+                          "FROM documents"),
         "json_roundtrip": ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
                            "round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer"),
         "step_history": """

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datalathe.functions.types import col, dtype_name, is_datetime, is_integral, missing, schema_fingerprint
+from datalathe.functions.types import col, dtype_name, is_datetime, is_integral, missing, schema_fingerprint, value
 
 CONTRACT_SCHEMA = "column_name string, rule string, passed boolean, message string"
 HISTORY_RUNS = 10
@@ -41,7 +41,7 @@ def contract_check(df: DataFrame, contract: dict) -> DataFrame:
                 results.append((name, "type", ok, None if ok else f"Column {name} expected string, got {got}"))
         if rules.get("unique") is True:
             i = len(pending)
-            aggs += [F.count(F.lit(1)).alias(f"r{i}"), F.count_distinct(col(name)).alias(f"d{i}"),
+            aggs += [F.count(F.lit(1)).alias(f"r{i}"), F.count_distinct(value(df, name)).alias(f"d{i}"),
                      F.count_if(missing(df, name)).alias(f"z{i}")]
             pending.append((name, "unique", i))
         if rules.get("nullable") is False:

@@ -14,7 +14,6 @@ CURRENCY_KEYWORDS = ["price", "cost", "revenue", "sales", "profit"]
 AVG_KEYWORDS = ["rating", "score", "satisfaction", "percent", "rate", "density"]
 TOP_MAX_DISTINCT = 50
 KPI_TARGET = 4
-KPI_MAX = 6
 
 SCHEMA = "kpi_id string, label string, value double, text_value string, format string"
 
@@ -32,13 +31,14 @@ def kpi_rules(df: DataFrame) -> list[tuple[str, str, str]]:
     return rules
 
 
-def detect_kpis(df: DataFrame) -> DataFrame:
+def detect_kpis(df: DataFrame, top_target: int = KPI_TARGET, top_max_distinct: int = TOP_MAX_DISTINCT,
+                limit: int | None = None) -> DataFrame:
     """Rows ``(kpi_id, label, value, text_value, format)``.
 
     Numeric totals and averages come from one aggregate. With fewer than
     four, text columns with fewer than 50 distinct values add
     ``"value (count)"`` of their most frequent value (ties: smallest) until
-    there are four; six at most. Distinct counts and modes of all text
+    there are ``top_target``; ``limit`` cuts the list (None keeps all). Distinct counts and modes of all text
     columns come from one unpivot and two partial aggregates.
     """
     spark = df.sparkSession
@@ -53,7 +53,7 @@ def detect_kpis(df: DataFrame) -> DataFrame:
         for i, (kind, c, fmt) in enumerate(rules):
             label = f"Total {c}" if kind == "sum" else f"Avg {c}"
             kpis.append((f"{kind}_{c}", label, r[f"k{i}"], None, fmt))
-    if len(kpis) < KPI_TARGET:
+    if len(kpis) < top_target:
         texts = string_columns(df)
         if texts:
             counts = unpivot_text(df, texts, with_order_key=False).groupBy("i", "s").agg(F.count("*").alias("n"))
@@ -62,9 +62,9 @@ def detect_kpis(df: DataFrame) -> DataFrame:
             found = {r["i"]: r for r in per.collect()}
             for i, c in enumerate(texts):
                 r = found.get(i)
-                if r is None or r["u"] >= TOP_MAX_DISTINCT:
+                if r is None or r["u"] >= top_max_distinct:
                     continue
                 kpis.append((f"top_{c}", f"Top {c}", None, f"{r['m']['s']} ({-r['m']['neg']})", "text"))
-                if len(kpis) >= KPI_TARGET:
+                if len(kpis) >= top_target:
                     break
-    return spark.createDataFrame(kpis[:KPI_MAX], SCHEMA)
+    return spark.createDataFrame(kpis if limit is None else kpis[:limit], SCHEMA)

@@ -122,7 +122,7 @@ def phrase_condition(df: DataFrame, phrase: str) -> Column:
             c = _condition(df, item.strip(), names)
             part = c if part is None else part & c
         cond = part if cond is None else cond | part
-    return F.coalesce(cond, F.lit(False))
+    return cond  # a filter drops null as it drops false, and a bare condition can be pushed to the scan
 
 
 def keyword_filter(df: DataFrame, keyword: str) -> DataFrame:
@@ -131,7 +131,7 @@ def keyword_filter(df: DataFrame, keyword: str) -> DataFrame:
     cols = flat_columns(df)
     cond = None
     for c in cols:
-        m = F.coalesce(text_form(c, df.schema[c].dataType).rlike("(?i)" + keyword), F.lit(False))
+        m = F.coalesce(text_form(c, df.schema[c].dataType).rlike("(?iu)" + keyword), F.lit(False))
         cond = m if cond is None else cond | m
     return df.filter(cond) if cond is not None else df.limit(0)
 

@@ -358,14 +358,14 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, columns=None) -> DataFram
     return base.orderBy(F.xxhash64(F.lit(seed), *[col(c) for c in cols])).limit(n)
 
 
-def group_mean(df: DataFrame, key: str, val: str, groups: int = 10) -> DataFrame:
-    """Mean of ``value`` by ``key``: the first ``groups`` keys in key order,
-    then sorted by mean descending. Rows ``(name, value)``; NaN keys are
+def group_mean(df: DataFrame, key: str, val: str, groups: int | None = None) -> DataFrame:
+    """Mean of ``value`` by ``key``, sorted by mean descending; the ``groups`` highest (None: all). Rows ``(name, value)``; NaN keys are
     missing and dropped."""
     g = (df.filter(~missing(df, key)).groupBy(value(df, key).alias("k"))
          .agg(F.avg(num(df, val)).alias("value")))
-    top = g.orderBy("k").limit(groups)
-    return top.orderBy(F.col("value").desc(), F.col("k")).select(F.col("k").cast("string").alias("name"), "value")
+    ranked = g.orderBy(F.col("value").desc(), F.col("k"))
+    ranked = ranked if groups is None else ranked.limit(groups)
+    return ranked.select(F.col("k").cast("string").alias("name"), "value")
 
 
 def group_mean_chart(df: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def group_mean_chart(df: DataFrame) -> DataFrame:
 
 def insights(df: DataFrame) -> DataFrame:
     """Plain sentences about shape, missing values, duplicates, types,
-    |z| > 3 counts (sample std, first five numeric columns) and columns
+    |z| > 3 counts (sample std) and columns
     with |r| > 0.8 against an earlier column. Rows ``(idx, insight)``."""
     facts = quality_facts(df)
     rows, ncols = facts["rows"], len(df.columns)
@@ -392,7 +392,7 @@ def insights(df: DataFrame) -> DataFrame:
     if facts["duplicates"] > 0:
         lines.append(f"Identified {facts['duplicates']} duplicate rows.")
     lines.append(f"Columns breakdown: {len(nums)} numerical, {len(texts)} categorical.")
-    notes = [f"{c} ({n})" for c, n in zscore_outliers(df, nums[:5]) if n > 0]
+    notes = [f"{c} ({n})" for c, n in zscore_outliers(df, nums) if n > 0]
     if notes:
         lines.append(f"Potential outliers detected in: {', '.join(notes)}.")
     if len(nums) > 1:

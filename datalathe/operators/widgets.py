@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from datalathe.functions.types import col, missing, text_form
 from datalathe.operators.profile import null_counts
 
-WIDGET_ROWS = 50
 UNKNOWN = "Unknown"
 
 
 def widget_data(df: DataFrame, x: str, y: str | None = None, aggregation: str = "count",
-                chart_type: str = "bar", limit: int = WIDGET_ROWS) -> DataFrame:
+                chart_type: str = "bar", limit: int | None = None) -> DataFrame:
     """Rows ``(name, value)``: rows grouped by the text form of ``x``
     (missing, NaN or empty -> ``Unknown``), then ``count``, ``sum`` or a true
     ``avg`` of ``y`` (values that are not numbers, or NaN, count as 0). Sorted by
     value descending (ties by name) except line charts, which keep key
-    order."""
+    order. ``limit`` cuts the rows after sorting (None keeps all)."""
     key = text_form(x, df.schema[x].dataType)
     key = F.when(missing(df, x) | (key == ""), F.lit(UNKNOWN)).otherwise(key)
     if aggregation == "count" or y is None:
@@ -33,7 +32,8 @@ def widget_data(df: DataFrame, x: str, y: str | None = None, aggregation: str =
             raise ValueError(f"unknown widget aggregation {aggregation!r}")
     g = df.groupBy(key.alias("name")).agg(value.alias("value"))
     order = [F.col("name")] if chart_type == "line" else [F.col("value").desc(), F.col("name")]
-    return g.orderBy(*order).limit(limit)
+    out = g.orderBy(*order)
+    return out if limit is None else out.limit(limit)
 
 
 def scatter_widget(df: DataFrame, x: str, y: str, z: str | None = None) -> DataFrame:

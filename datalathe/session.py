@@ -52,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
-    if sc.master.startswith("local"):
+    if sc.master == "local" or sc.master.startswith("local["):
         base = os.environ.get("TMPDIR", "/tmp")
         folder = tempfile.mkdtemp(prefix="datalathe-ckpt-", dir=base)
         sc.setCheckpointDir(folder)

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 # Statement words the read-only guard refuses.
 FORBIDDEN_WORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE"]
 _FORBIDDEN = re.compile(r"\b(?:" + "|".join(FORBIDDEN_WORDS) + r")\b", re.IGNORECASE)
-DEFAULT_LIMIT = 1000
 
 
 def read_only_guard(query: str) -> str:
@@ -51,7 +50,7 @@ def read_jdbc(spark: SparkSession, url: str, query: str, *, user: str | None = N
 
 
 def read_mongodb(spark: SparkSession, uri: str, collection: str, *, database: str | None = None,
-                 limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """A MongoDB collection (needs the MongoDB Spark connector), ``_id`` dropped."""
     if not collection:
         raise ValueError("Collection is required for MongoDB")

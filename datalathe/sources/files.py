@@ -3,6 +3,8 @@ JSON records, and a CSV writer."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,9 @@ from datalathe.functions.types import col, nan_to_null, string_columns
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_CHARS = 1024
 SNIFF_LINES = 50
-ENCODING_CHECK_ROWS = 100_000
+# Texts that read as missing, as pandas has them.
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+             "NaN", "None", "n/a", "nan", "null"]
 REPLACEMENT_CHAR = "\ufffd"
 FALLBACK_ENCODING = "ISO-8859-1"
 
@@ -52,39 +56,60 @@ def _head_lines(spark: SparkSession, path: str) -> list[str]:
     return out
 
 
-def _has_replacement(df: DataFrame, rows: int = ENCODING_CHECK_ROWS) -> bool:
-    """U+FFFD in the leading ``rows`` rows (a bounded sniff, like the
-    reference's head-of-file encoding probe; pass ``encoding`` to skip it)."""
-    cols = string_columns(df)
-    if not cols:
-        return False
-    cond = None
-    for c in cols:
-        m = F.coalesce(F.instr(col(c), REPLACEMENT_CHAR) > 0, F.lit(False))
-        cond = m if cond is None else cond | m
-    return not df.limit(rows).filter(cond).isEmpty()
+def _infer(raw: DataFrame) -> tuple[dict[str, str], bool]:
+    """The narrowest type that every value of a text column has, and whether any text holds U+FFFD: one aggregate
+    over the whole table."""
+    names, aggs = raw.columns, []
+    for i, name in enumerate(names):
+        c = col(name)
+        tests = {"int": c.try_cast("int"), "bigint": c.try_cast("bigint"), "double": c.try_cast("double"),
+                 "boolean": F.when(F.lower(c).isin("true", "false"), c),
+                 "date": F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date")),
+                 "timestamp": F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp"))}
+        # a number with an exponent or a fraction is no integer, whatever a cast makes of it
+        for kind in ("int", "bigint"):
+            tests[kind] = F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), tests[kind])
+        aggs += [F.count(c).alias(f"n{i}"), *[F.count(t).alias(f"{k}{i}") for k, t in tests.items()],
+                 F.count_if(F.coalesce(F.instr(c, REPLACEMENT_CHAR) > 0, F.lit(False))).alias(f"bad{i}")]
+    if not names:
+        return {}, False
+    r = raw.agg(*aggs).first()
+    kinds = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    types = {name: next((k for k in kinds if r[f"n{i}"] and r[f"{k}{i}"] == r[f"n{i}"]), "string") for i, name in enumerate(names)}
+    return types, any(r[f"bad{i}"] for i in range(len(names)))
 
 
 def load_csv(spark: SparkSession, path: str, *, sep: str | None = None, header: bool = True,
              infer_schema: bool = True, encoding: str | None = None, schema=None,
-             nan_as_null: bool = True) -> DataFrame:
+             nan_as_null: bool = True, multi_line: bool = True, na_values=NA_TOKENS) -> DataFrame:
     """Read CSV with the first line as header and inferred types.
 
-    ``sep=None`` detects the delimiter from the first kilobyte. Spark does not
-    fail on bad UTF-8 (it writes U+FFFD), so without an explicit
-    ``encoding`` a file whose text holds U+FFFD is read again as ISO-8859-1.
-    Repeated header names get Spark's position suffix (pandas writes
-    ``.1``). For large files pass ``schema`` to skip the inference pass.
+    ``sep=None`` detects the delimiter from the first kilobyte. Fields in quotes may hold newlines and doubled quotes;
+    ``multi_line=False`` promises that none holds a newline, and lets Spark split large files. ``na_values`` read as
+    null, before types are inferred. Spark does not fail on bad UTF-8 (it writes U+FFFD), so without an explicit
+    ``encoding`` a table with U+FFFD anywhere is read again as ISO-8859-1. Repeated header names get Spark's position
+    suffix (pandas writes ``.1``). Types and encoding are found by one pass over the whole table; pass ``schema`` and
+    ``encoding`` to save it.
     """
     sep = sep or sniff_delimiter(_head_lines(spark, path))
-    reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+    reader = (spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE").option("multiLine", multi_line)
+              .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", infer_schema)
-    df = reader.option("encoding", encoding or "UTF-8").csv(path)
-    if encoding is None and _has_replacement(df):
-        df = reader.option("encoding", FALLBACK_ENCODING).csv(path)
+        df = reader.schema(schema).option("encoding", encoding or "UTF-8").csv(path)
+        if encoding is None and _infer(df.select(*[col(c) for c in string_columns(df)]))[1]:
+            df = reader.option("encoding", FALLBACK_ENCODING).csv(path)
+        return nan_to_null(df) if nan_as_null else df
+
+    def text(code: str) -> DataFrame:
+        raw = reader.option("encoding", code).csv(path)
+        return raw.select(*[F.when(~F.trim(col(c)).isin(list(na_values)), col(c)).alias(c) for c in raw.columns]) if nan_as_null else raw
+
+    raw = text(encoding or "UTF-8")
+    types, bad = _infer(raw) if infer_schema or encoding is None else ({}, False)
+    if encoding is None and bad:
+        raw = text(FALLBACK_ENCODING)
+        types = _infer(raw)[0] if infer_schema else {}
+    df = raw.select(*[col(c).cast(types[c]).alias(c) if infer_schema and types[c] != "string" else col(c) for c in raw.columns])
     return nan_to_null(df) if nan_as_null else df
 
 
@@ -125,8 +150,22 @@ def records_frame(df: DataFrame) -> DataFrame:
     return df.select(*_flatten(df.schema))
 
 
-def load_json_records(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    df = spark.read.option("multiLine", multi_line).json(path)
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """JSON Lines if the first line that is not blank is a whole object; an array or a cut object is one document."""
+    first = next((ln.strip() for ln in _head_lines(spark, path) if ln.strip()), "")
+    if not first.startswith("{"):
+        return False
+    try:
+        json.loads(first)
+    except ValueError:
+        return False
+    return True
+
+
+def load_json_records(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
+    """JSON records. JSON Lines stay splittable; ``multi_line=None`` tells them from a document by the first line."""
+    lines = _is_lines(spark, path) if multi_line is None else not multi_line
+    df = spark.read.option("multiLine", not lines).json(path)
     return nan_to_null(records_frame(df))
 
 
@@ -150,6 +189,7 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
-    """Whole table as CSV with a header, one file per partition, no index."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Whole table as CSV with a header, one file per partition, no index; quotes in texts are doubled."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path

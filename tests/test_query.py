@@ -49,7 +49,9 @@ def test_sort_first_key_first_nulls_last(orders):
 def test_builder_sql_names_aggregates():
     sql = query.builder_sql(groupby=["tag"], aggregates={"x": "sum"}, filters=[{"col": "x", "op": ">", "val": 1}],
                             sort={"tag": "asc"}, limit=5)
-    assert sql == "SELECT tag, SUM(x) AS x FROM current_data WHERE x > 1 GROUP BY tag ORDER BY tag asc LIMIT 5"
+    assert sql == 'SELECT "tag", SUM("x") AS "x" FROM current_data WHERE "x" > 1 GROUP BY "tag" ORDER BY "tag" ASC LIMIT 5'
+    quoted = query.builder_sql(select=['a"b'], filters=[{"col": "s", "op": "==", "val": "it's"}])
+    assert quoted == """SELECT "a""b" FROM current_data WHERE "s" = 'it''s'"""
 
 
 @pytest.mark.parametrize("text,want", [
@@ -96,7 +98,7 @@ def test_run_builder_request(orders):
                                      "aggregates": {"x": "median"}, "sort": {"tag": "asc"}, "limit": 10})
     assert [tuple(r) for r in res["frame"].collect()] == [("a", 5.0), ("b", 5.0)]
     assert res["summary"]["shape"] == (2, 2)
-    assert res["generated_sql"].startswith("SELECT tag, MEDIAN(x) AS x FROM current_data WHERE x >= 5")
+    assert res["generated_sql"].startswith('SELECT "tag", MEDIAN("x") AS "x" FROM current_data WHERE "x" >= 5')
 
 
 def test_grouped_median_matches_numpy(spark):
@@ -130,3 +132,21 @@ def test_phrase_columns_and_symbols(frame):
     assert ids("price != cost") == [1, 2, 3]
     assert ids("price > 1 & cost > 3") == [2]
     assert ids("price > 4 | cost < 2") == [1, 3]
+
+
+def test_integer_constants_stay_exact_and_are_pushed(spark, tmp_path):
+    from datalathe.operators.phrase import phrase_filter
+
+    big = 2**53 + 1
+    spark.createDataFrame([(big,), (big - 1,)], "k long").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = query.filter_rows(df, [{"col": "k", "op": "==", "val": str(big)}])
+    assert [r.k for r in got.collect()] == [big]
+    for out, pushed in ((got, "EqualTo(k,"), (phrase_filter(df, "show rows where k > 5"), "GreaterThan(k,")):
+        assert pushed in out._jdf.queryExecution().toString()
+
+
+def test_contains_folds_any_letter_and_sum_of_nothing_is_zero(spark):
+    df = spark.createDataFrame([("ÉCOLE", None), ("x", 1.0)], "s string, v double")
+    assert query.filter_rows(df, [{"col": "s", "op": "contains", "val": "école"}]).count() == 1
+    assert {r.s: r.v for r in query.group_aggregate(df, ["s"], {"v": "sum"}).collect()} == {"ÉCOLE": 0.0, "x": 1.0}

@@ -69,3 +69,23 @@ def test_read_only_guard():
         databases.read_only_guard("  ")
     with pytest.raises(ValueError):
         databases.connect(None, "postgresql", query="select 1")
+
+
+def test_csv_quotes_newlines_and_missing_tokens(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,t\n1,"two\nlines"\nNA,"say ""hi"", ok"\n2.5,plain\n')
+    got = files.load_csv(spark, str(tmp_path / "a.csv"))
+    assert dict(got.dtypes) == {"n": "double", "t": "string"}
+    assert sorted(map(tuple, got.fillna(0.0).collect())) == [(0.0, 'say "hi", ok'), (1.0, "two\nlines"), (2.5, "plain")]
+
+
+def test_csv_bad_byte_far_down(spark, tmp_path):
+    (tmp_path / "b.csv").write_bytes(b"x,y\n" + b"a,1\n" * 100_500 + "é,2\n".encode("latin-1"))
+    got = files.load_csv(spark, str(tmp_path / "b.csv"))
+    assert got.where("y = 2").first().x == "é"
+
+
+def test_json_lines_by_default(spark, tmp_path):
+    (tmp_path / "c.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(5)))
+    (tmp_path / "d.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert files.load(spark, str(tmp_path / "c.json"), "json").count() == 5
+    assert files.load(spark, str(tmp_path / "d.json"), "json").count() == 2
