@@ -5,7 +5,7 @@ Documents with equal shingle sets are one node from the start. Within a bucket n
 bucket compares its members with one pivot. By the triangle inequality of the Jaccard distance a member further than
 twice the allowed distance from the pivot cannot be linked with one that is linked with the pivot; members between the
 two bounds are compared with the pivot's partners of other components, and all that are not linked form the next
-round's bucket. Rounds go on until no bucket is left, so no link is lost beyond the stated miss probability."""
+round's bucket. A bucket with few members left compares them all; rounds go on until no bucket is left, so no link is lost beyond the stated miss probability."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ from datalathe.llm.text import (LOWER, Texts, arrow_type, mix, span_hashes, stor
 
 #: Hashes of a band, and of a step of the sequential comparison.
 BAND_ROWS, STEP = 5, 20
+#: Buckets with at most this many members left after a round compare each with each, which ends them.
+FEW = 32
 #: Chance that a pair at the threshold is missed by the bands, and by the sequential comparison.
 MISS = 1e-6
 
@@ -220,8 +222,15 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         # what is not linked with the pivot meets again, unless it is one component by now
         rest = placed.where("verdict < 2").select("bucket", "key").join(labels.select(F.col("node").alias("key"), F.col("label").alias("now")), "key", "left") \
             .withColumn("now", F.coalesce("now", "key"))
-        several = rest.groupBy("bucket").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x != y").select("bucket")
-        buckets = stored(rest.join(several, "bucket", "left_semi").select("bucket", "key"), "rest")
+        sizes = rest.groupBy("bucket").agg(F.min("now").alias("x"), F.max("now").alias("y"), F.count(F.lit(1)).alias("members")).where("x != y")
+        left = stored(rest.join(sizes.select("bucket", "members"), "bucket"), "rest")
+        few = left.where(F.col("members") <= FEW)
+        pairs = few.select("bucket", F.col("key").alias("a"), F.col("now").alias("now_a")).join(
+            few.select("bucket", F.col("key").alias("b"), F.col("now").alias("now_b")), "bucket").where("a < b and now_a != now_b")
+        links = stored(links.unionByName(judge(pairs.select("a", "b").distinct()).where("verdict = 2").select("a", "b")), "links")
+        buckets = left.where(F.col("members") > FEW).select("bucket", "key")
+    if links is not None:
+        labels = components(links)
 
     smallest = nodes.select("key", "id")
     if labels is not None:
