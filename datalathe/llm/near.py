@@ -1,11 +1,13 @@
 """Near-duplicate groups: MinHash bands give candidates, signatures are compared in batches under a Bayesian bound,
 and what survives is verified on full shingle sets.
 
-Documents with equal shingle sets are one node from the start. Within a bucket no pairs of all members are made: each
-bucket compares its members with one pivot. By the triangle inequality of the Jaccard distance a member further than
-twice the allowed distance from the pivot cannot be linked with one that is linked with the pivot; members between the
-two bounds are compared with the pivot's partners of other components, and all that are not linked form the next
-round's bucket. A bucket with few members left compares them all; rounds go on until no bucket is left, so no link is lost beyond the stated miss probability."""
+Documents with equal shingle sets are one node from the start. A bucket with few members compares them all. Within a
+larger one no pairs of all members are made: it compares its members with pivots, one in the first round and eight times
+as many in each later one. By the triangle inequality of the Jaccard distance a member further than twice the allowed
+distance from a pivot cannot be linked with one that is linked with that pivot; members between the two bounds are
+compared with the pivot's partners of other components, and all that are linked with no pivot form the next round's
+bucket. Rounds go on until no bucket is left, so no link is lost beyond the stated miss probability; a bucket of m
+members in c clusters makes at most 8 * c * m comparisons with pivots."""
 
 from __future__ import annotations
 
@@ -18,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalathe.llm.text import (LOWER, Texts, arrow_type, mix, span_hashes, stored, text_blocks, two_columns, word_spans)
+from datalathe.llm.text import (LOWER, Texts, arrow_type, forget, mix, span_hashes, stored, text_blocks, two_columns, word_spans)
 
 #: Hashes of a band, and of a step of the sequential comparison.
 BAND_ROWS, STEP = 5, 20
-#: Buckets with at most this many members left after a round compare each with each, which ends them.
+#: Buckets with at most this many members compare each with each, which ends them.
 FEW = 32
+#: A round has this many times the pivots of the round before.
+MORE_PIVOTS = 8
 #: Chance that a pair at the threshold is missed by the bands, and by the sequential comparison.
 MISS = 1e-6
 
@@ -81,9 +85,9 @@ def signature(shingles: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> b
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of edges (a, b): the smallest node that can be reached. Alternates large-star and
-    small-star steps, each two hash joins; stars of any size are never gathered in one task."""
+    small-star steps, each two hash joins, until all edges lead from a leaf to its centre; stars of any size are never
+    gathered in one task."""
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -91,12 +95,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large.where("a != b").distinct(), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a != b").distinct(), "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        small = stored(small.where("a != b").distinct(), "small-star")
+        forget(edges, large)
+        edges = small
+        ways = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if ways.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        before = now
 
 
 def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
@@ -147,7 +153,7 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
                 names=["bucket", "key"])
 
     entries = nodes.select("key", "signature").mapInArrow(bands, "bucket bigint, key binary")
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = stored(entries.join(shared, "bucket"), "buckets")
     near = stored(buckets.select("key").distinct(), "near-keys")
 
@@ -201,41 +207,50 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         return stored(seen.join(sure, ["a", "b"], "left").select(
             "a", "b", F.when(F.col("linked"), 2).otherwise(F.least("verdict", F.lit(1))).alias("verdict")), "judged")
 
-    links, labels = None, None
-    while not buckets.isEmpty():
-        pivots = buckets.groupBy("bucket").agg(F.min("key").alias("pivot"))
-        stars = stored(buckets.join(pivots, "bucket").where("key != pivot"), "stars")
-        judged = judge(stars.select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
+    def known(table: DataFrame) -> DataFrame:
+        """With the component that each key is in as far as the links so far tell."""
+        if labels is None:
+            return table.withColumn("now", F.col("key"))
+        return table.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("now", F.coalesce("label", "key")).drop("label")
+
+    edge = [F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")]
+    links = labels = pending = None
+    n_pivots = 1
+    while True:
+        few = known(buckets.where(F.col("members") <= FEW))
+        pairs = few.select("bucket", "key", "now").join(
+            few.select("bucket", F.col("key").alias("other"), F.col("now").alias("then")), "bucket").where("key < other and now != then").select(*edge)
+        if pending is not None:
+            pairs = pairs.unionByName(pending)
+        many = buckets.where(F.col("members") > FEW).select("bucket", "key")
+        last = many.isEmpty()
+        if not last:
+            slot = F.pmod(F.xxhash64("key", F.lit(n_pivots)), F.lit(n_pivots)).alias("slot")
+            pivots = many.groupBy("bucket", slot).agg(F.min("key").alias("other")).drop("slot")
+            stars = stored(many.join(pivots, "bucket").where("key != other"), "stars")
+            pairs = pairs.unionByName(stars.select(*edge))
+        judged = judge(pairs.distinct())
         found = judged.where("verdict = 2").select("a", "b")
-        links = found if links is None else links.unionByName(found)
+        # a component's links from its members to its label stand for all links so far
+        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
-        placed = stored(stars.join(judged.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "verdict"), ["pivot", "key"])
-                        .join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
-                        .withColumn("label", F.coalesce("label", "key")), "placed")
-        # members near the pivot against the pivot's partners, where they are not in one component already
-        partners = placed.where("verdict = 2").select("bucket", F.col("key").alias("b"), F.col("label").alias("label_b"))
-        between = placed.where("verdict = 1").select("bucket", F.col("key").alias("a"), F.col("label").alias("label_a"))
-        more = stored(between.join(partners, "bucket").where("label_a != label_b").select("a", "b").distinct(), "between")
-        if not more.isEmpty():
-            links = links.unionByName(judge(more).where("verdict = 2").select("a", "b"))
-            labels = components(links)
-        # what is not linked with the pivot meets again, unless it is one component by now
-        rest = placed.where("verdict < 2").select("bucket", "key").join(labels.select(F.col("node").alias("key"), F.col("label").alias("now")), "key", "left") \
-            .withColumn("now", F.coalesce("now", "key"))
+        if last:
+            break
+        placed = stored(known(stars.join(judged.select("a", "b", "verdict"), (F.least("key", "other") == F.col("a")) & (F.greatest("key", "other") == F.col("b")))
+                              .select("bucket", "key", "other", "verdict")), "placed")
+        # members near a pivot meet the pivot's partners in the next round, where they are not in one component already
+        partners = placed.where("verdict = 2").select("bucket", F.col("other").alias("pivot"), F.col("key").alias("other"), F.col("now").alias("then"))
+        between = placed.where("verdict = 1").select("bucket", F.col("other").alias("pivot"), "key", "now")
+        pending = between.join(partners, ["bucket", "pivot"]).where("now != then").select(*edge)
+        # what is linked with no pivot meets again, unless it is one component by now
+        rest = placed.groupBy("bucket", "key").agg(F.max("verdict").alias("verdict"), F.first("now").alias("now")).where("verdict < 2") \
+            .join(stars.select("bucket", F.col("other").alias("key")).distinct(), ["bucket", "key"], "left_anti")
         sizes = rest.groupBy("bucket").agg(F.min("now").alias("x"), F.max("now").alias("y"), F.count(F.lit(1)).alias("members")).where("x != y")
-        left = stored(rest.join(sizes.select("bucket", "members"), "bucket"), "rest")
-        few = left.where(F.col("members") <= FEW)
-        pairs = few.select("bucket", F.col("key").alias("a"), F.col("now").alias("now_a")).join(
-            few.select("bucket", F.col("key").alias("b"), F.col("now").alias("now_b")), "bucket").where("a < b and now_a != now_b")
-        links = stored(links.unionByName(judge(pairs.select("a", "b").distinct()).where("verdict = 2").select("a", "b")), "links")
-        buckets = left.where(F.col("members") > FEW).select("bucket", "key")
-    if links is not None:
-        labels = components(links)
+        buckets = stored(rest.select("bucket", "key").join(sizes.select("bucket", "members"), "bucket"), "rest")
+        n_pivots *= MORE_PIVOTS
 
-    smallest = nodes.select("key", "id")
-    if labels is not None:
-        labelled = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
-        smallest = labelled.select("key", "label").join(labelled.groupBy("label").agg(F.min("id").alias("id")), "label").select("key", "id")
+    labelled = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
+    smallest = labelled.select("key", "label").join(labelled.groupBy("label").agg(F.min("id").alias("id")), "label").select("key", "id")
     out = marks.select("id", "n", "key").join(smallest.withColumnRenamed("id", "lowest"), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("lowest"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
