@@ -73,7 +73,9 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         try:
             return self.spark.read.schema(SCHEMAS[name]).parquet(self._path(name))
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # a table that is there but cannot be read is no empty table
+                raise
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def _append(self, name: str, rows: list[tuple]) -> None:
@@ -246,8 +248,9 @@ class StepHistory:
         self.workspace = workspace
         self.dataset_id = dataset_id
         self.current = df
-        self.undo_stack: list[tuple[DataFrame, str, Callable | None]] = []
-        self.redo_stack: list[tuple[DataFrame, str, Callable | None]] = []
+        # each entry keeps its frame's run id, so that drift never compares a frame with its own run
+        self.undo_stack: list[tuple[DataFrame, str | None]] = []
+        self.redo_stack: list[tuple[DataFrame, str | None, str, Callable | None]] = []
         self.steps: list[str] = [description]
         self.transforms: list[Callable[[DataFrame], DataFrame]] = []
         self.last_run: str | None = None
@@ -268,9 +271,11 @@ class StepHistory:
         return self._record(step(self.current), f"Masked columns {list(columns)} ({strategy})", step)
 
     def _record(self, new: DataFrame, description: str, fn: Callable) -> DataFrame:
+        run = None
         if self.workspace is not None and self.dataset_id is not None:
-            new, _, self.last_run = self.workspace.snapshot(new, self.dataset_id)
-        self.undo_stack.append((self.current, "", None))
+            new, _, run = self.workspace.snapshot(new, self.dataset_id)
+        self.undo_stack.append((self.current, self.last_run))
+        self.last_run = run
         self.redo_stack.clear()
         self.current = new
         self.steps.append(description)
@@ -280,18 +285,18 @@ class StepHistory:
     def undo(self) -> DataFrame:
         if not self.undo_stack:
             raise IndexError("Nothing to undo")
-        prev, _, _ = self.undo_stack.pop()
-        self.redo_stack.append((self.current, self.steps.pop() if len(self.steps) > 1 else "",
+        prev, run = self.undo_stack.pop()
+        self.redo_stack.append((self.current, self.last_run, self.steps.pop() if len(self.steps) > 1 else "",
                                 self.transforms.pop() if self.transforms else None))
-        self.current = prev
+        self.current, self.last_run = prev, run
         return prev
 
     def redo(self) -> DataFrame:
         if not self.redo_stack:
             raise IndexError("Nothing to redo")
-        nxt, desc, fn = self.redo_stack.pop()
-        self.undo_stack.append((self.current, "", None))
-        self.current = nxt
+        nxt, run, desc, fn = self.redo_stack.pop()
+        self.undo_stack.append((self.current, self.last_run))
+        self.current, self.last_run = nxt, run
         if desc:
             self.steps.append(desc)
         if fn is not None:

@@ -61,9 +61,9 @@ class Workbench:
 
     def revert(self, snapshot_path: str) -> dict:
         """Back to a snapshot: saved as a new version, stacks cleared."""
-        df, _ = self.workspace.revert(snapshot_path, self.dataset_id)
+        df, _, run = self.workspace.snapshot(self.workspace.read_snapshot(snapshot_path), self.dataset_id)
         self.history = StepHistory(df, description="Reverted")
-        self.history.workspace, self.history.dataset_id = self.workspace, self.dataset_id
+        self.history.workspace, self.history.dataset_id, self.history.last_run = self.workspace, self.dataset_id, run
         return self.summary()
 
     def export_csv(self, path: str) -> str:

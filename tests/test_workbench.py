@@ -32,6 +32,24 @@ def test_session_flow(spark, tmp_path):
     assert spark.read.option("header", True).csv(out).count() == 4
 
 
+def test_drift_after_undo_redo_and_revert(spark, tmp_path):
+    wb = Workbench(spark, str(tmp_path / "ws"))
+    wb.use(spark.createDataFrame([(1, "x")], "a int, b string"), "t")
+
+    def drift():
+        return wb.health(dt.datetime(2024, 1, 1)).first()["schema_status"]
+
+    wb.clean("rename_columns", rename_map={"a": "z"})
+    assert drift() == "drift_detected"
+    wb.undo()
+    assert wb.df.columns == ["a", "b"] and drift() == "drift_detected"
+    wb.redo()
+    assert wb.df.columns == ["z", "b"] and drift() == "drift_detected"
+    first = wb.snapshots().orderBy("seq").first()["snapshot_path"]
+    wb.revert(first)
+    assert wb.df.columns == ["a", "b"] and drift() == "drift_detected"
+
+
 def test_eda_parts(spark):
     df = spark.range(50).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id * 2 AS DOUBLE) AS b", "CAST(id % 3 AS STRING) AS s")
     parts = profile.eda(df)
