@@ -8,6 +8,8 @@ A document is rejected only if it is far from every language."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,22 @@ COMMON_WORDS = {
 SPACE = r"[\x20\x09-\x0D]+"
 CLASSES = {"digit": "[0-9]+", "upper": "[A-Z]+", "stop": "[.,;:!?'\"()-]+", "sign": r"[#*$%&|<>=+/@\\_{}\[\]^~]+"}
 
+#: The limit for words stays below the ceiling itself by this factor.
+MOST_SHARE = 0.98
+
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  char_distance: float = 0.29, word_distance: float = 0.27, min_chars: int = 200, min_words: int = 150,
+                  char_distance: float = 0.29, word_share: float = 0.25, word_noise: float = 7.0, min_chars: int = 200, min_words: int = 50,
                   with_rows: bool = False) -> DataFrame:
     """Base figures, distances and verdict of every whole text.
 
     Returns one row for each row: the id column, n_words (runs without ASCII white space), word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed (under 50 words, or more than half of them in repeated three-word
     windows), char_jsd and word_jsd (distance to the nearest language; null below the length guards or without any
-    reference), kept, and with ``with_rows`` the input row as the struct ``row``. A null text has no words and fails the
+    reference), kept, and with ``with_rows`` the input row as the struct ``row``. A text's words are far from a language
+    if their distance is over ``word_share`` + ``word_noise`` / sqrt(n_words) of the language's ceiling, the distance of
+    a text without any common word; the second part is what chance alone does to a short text, and a text without any
+    common word is always far. A reference without common words tells nothing about words. A null text has no words and fails the
     base rules. References come from documents that pass the base rules and whose ``lang`` is one of COMMON_WORDS (at
     most four rows on the driver); an empty table gives no rows. Repeated rows are repeated.
     """
@@ -81,20 +89,31 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array(*[F.sum(F.get("char_counts", F.lit(i))) for i in range(n_chars)]).alias("c"),
         F.array(*[F.sum(F.get("word_counts", F.lit(i))) for i in range(n_common)]).alias("w")).collect()
 
-    def nearest(counts: str, totals: list[list[float]]) -> Column:
-        shares = [[x / sum(t) for x in t] for t in totals if sum(t) > 0]
-        if not shares:
-            return F.lit(None).cast("double")
-        return F.least(*[distance(counts, s) for s in shares], F.lit(1.0))
+    def nearest(distances: list[Column]) -> Column:
+        return F.least(*distances, F.lit(1.0)) if distances else F.lit(None).cast("double")
 
-    char_jsd = F.when(F.col("chars") >= min_chars, nearest("char_counts", [list(r["c"]) for r in references]))
-    word_jsd = F.when(F.col("n_words") >= min_words, nearest("word_counts", [list(r["w"]) for r in references]))
-    judged = figures.select("*", char_jsd.alias("char_jsd"), word_jsd.alias("word_jsd"))
-    far = F.coalesce(F.col("char_jsd") > char_distance, F.lit(False)) | F.coalesce(F.col("word_jsd") > word_distance, F.lit(False))
+    char_shares, word_shares = ([[x / sum(r[k]) for x in r[k]] for r in references if sum(r[k]) > 0] for k in "cw")
+    word_shares = [s for s in word_shares if s[-1] < 1]
+    ceilings = [ceiling(s) for s in word_shares]
+    char_jsd = F.when(F.col("chars") >= min_chars, nearest([distance("char_counts", s) for s in char_shares]))
+    distances = F.when(F.col("n_words") >= min_words, F.array(*[distance("word_counts", s) for s in word_shares]).cast("array<double>"))
+    judged = figures.select("*", char_jsd.alias("char_jsd"), distances.alias("distances_"))
+    each = [F.get("distances_", F.lit(i)) for i in range(len(word_shares))]
+    judged = judged.select("*", F.when(F.col("distances_").isNotNull(), nearest(each)).alias("word_jsd"),
+                           nearest([d / c for d, c in zip(each, ceilings, strict=True)]).alias("word_part_"))
+    limit = F.least(F.lit(word_share) + F.lit(word_noise) / F.sqrt(F.col("n_words")), F.lit(MOST_SHARE))
+    far = F.coalesce(F.col("char_jsd") > char_distance, F.lit(False)) \
+        | F.coalesce(F.col("distances_").isNotNull() & (F.col("word_part_") > limit), F.lit(False))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "char_jsd", "word_jsd", (~F.col("base_failed") & ~far).alias("kept"), *(["row"] if with_rows else []))
 
 
+def ceiling(reference: list[float]) -> float:
+    """The Jensen-Shannon distance to word shares of a text that has none of the common words."""
+    rest = reference[-1]
+    return math.sqrt((math.log2(2 / (1 + rest)) + (1 - rest) + (rest * math.log2(2 * rest / (1 + rest)) if rest > 0 else 0.0)) / 2)
+
+
 def distance(counts: str, reference: list[float]) -> Column:
     """Jensen-Shannon distance between an array of counts and reference shares."""
     shares = F.array(*[F.lit(float(x)) for x in reference])

@@ -25,6 +25,40 @@ def quality(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
+def divergence(rows, common):
+    """(char_jsd, word_jsd, kept) of each (text, lang), by the rules' words."""
+    vocabulary = list(dict.fromkeys(w for own in common.values() for w in own))
+    facts, sums = [], {}
+    for t, lang in rows:
+        t, words = text_of(t), WORD.findall(text_of(t))
+        n, failed = len(words), len(words) < 50 or 100 * quality(t)[4] > 50 * len(words)
+        joined = "".join(words)
+        signs = [sum(c in own for c in joined) for own in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?'\"()-", "#*$%&|<>=+/@\\_{}[]^~")]
+        wide = len(joined.encode()) - len(joined)
+        chars = [max(0, len(joined) - wide - sum(signs)), wide, len(t) - len(joined), *signs]
+        hits = [words.count(w) for w in vocabulary]
+        hits.append(n - sum(hits))
+        facts.append((len(t), n, failed, chars, hits))
+        if not failed and lang in common:
+            c, w = sums.setdefault(lang, ([0] * len(chars), [0] * len(hits)))
+            sums[lang] = [a + b for a, b in zip(c, chars)], [a + b for a, b in zip(w, hits)]
+
+    def jsd(p, q):
+        p, q = [x / max(1, sum(p)) for x in p], [x / sum(q) for x in q]
+        part = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
+        return math.sqrt(max(0, part(p, q) + part(q, p)) / 2)
+
+    out = []
+    for n_chars, n, failed, chars, hits in facts:
+        char = min(jsd(chars, c) for c, _ in sums.values()) if n_chars >= 200 else None
+        word = min(jsd(hits, w) for _, w in sums.values()) if n >= 50 else None
+        nothing = [0] * len(vocabulary) + [1]
+        share = min(jsd(hits, w) / jsd(nothing, w) for _, w in sums.values())
+        far = char is not None and char > 0.29 or n >= 50 and share > min(0.98, 0.25 + 7 / math.sqrt(n))
+        out.append((char, word, not failed and not far))
+    return out
+
+
 def exact(rows):
     groups = collections.defaultdict(list)
     for i, t in rows:

@@ -124,6 +124,31 @@ def test_quality_keeps_good_documents(spark):
     assert (1, False) not in found and found[0, False] > 0
 
 
+def test_quality_distances_and_verdict(spark):
+    docs = spark.read.parquet(DOCS)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    want = {r.doc_id: x for r, x in zip(rows, brute.divergence([(r.text, r.lang) for r in rows], quality.COMMON_WORDS), strict=True)}
+    got = quality.quality_rules(docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        for have, value in zip((r.char_jsd, r.word_jsd), want[r.doc_id]):
+            assert (have is None) == (value is None) and (have is None or abs(have - value) < 1e-6)
+        assert r.kept == want[r.doc_id][2]
+
+
+def test_quality_rejects_invented_words(spark):
+    """Lists of invented words, short ones and ones with a common word here and there, beside good texts of equal length."""
+    r, rows = random.Random(6), []
+    for i in range(60):
+        n = (60, 100, 149, 400)[i % 4]
+        good = [r.choice(quality.COMMON_WORDS["en"]) if r.random() < 0.15 else r.choice(["tree", "house", "walked", "under"]) + chr(97 + r.randrange(26)) for _ in range(n)]
+        junk = ["".join(r.choice("aeinorst") for _ in range(7)) for _ in range(n)]
+        junk[:n // 120] = ["the"] * (n // 120)
+        rows += [(2 * i, " ".join(good), "en"), (2 * i + 1, " ".join(junk), "en" if i < 12 else None)]
+    kept = {x.doc_id for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert kept == {2 * i for i in range(60)}
+
+
 def test_suffix(docs, rows):
     got = suffix.repeated_strings(docs).collect()
     small = brute.repeats(rows)
