@@ -4,7 +4,8 @@ Texts become blocks of word numbers. Vocabularies are exchanged by word hash,
 which gives each word a number and its training count; distinct bigrams of a
 block are exchanged by context. A shard sums their training counts, builds its
 Elias-Fano trie, and answers its own queries, so neither the vocabulary nor the
-model is ever whole in one place. The context of a text's first word is the end
+model is ever whole in one place. A bigram's occurrences stay with their block:
+a shard sees each bigram once for each block, and returns one probability for it. The context of a text's first word is the end
 of a text. Probabilities: P(w|v) = (c(vw) + MU * P(w)) / (c(v) + MU)."""
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MU = 4.0
 CONTEXT_TOKENS = 1 << 20
 #: The end of a text, as a word that no text holds.
 END = 10
-VALUES = ("contexts", "context_n", "context_words", "words", "word_n", "train", "seen", "docs")
+VALUES = ("contexts", "context_n", "context_words", "words", "word_n", "train")
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,7 +105,7 @@ def _bigrams(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
 
     schema = pa.schema([
         ("block", pa.string()), ("ids", pa.list_(arrow_type(kind))), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-        ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
+        ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("seen", pa.binary()), ("docs", pa.binary()),
         ("bigrams", pa.list_(pa.struct([("shard", pa.int32()), *[(v, pa.binary()) for v in VALUES]])))])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,23 +135,25 @@ def _bigrams(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
                 shard = (mix(word[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + sub.astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
                 by = np.lexsort((word[w], word[v], shard))
                 cuts = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1])).tolist()
+                # the texts in which the bigrams occur, one after another
+                take = np.repeat(begin[by] - (np.cumsum(seen[by]) - seen[by]), seen[by]) + np.arange(len(order))
+                docs = squeeze(doc[order[take]])
                 bigrams = []
                 for a, b in itertools.pairwise([*cuts, len(by)]):
                     own = by[a:b]
                     head = np.flatnonzero(np.append(True, v[own][1:] != v[own][:-1]))
-                    take = np.repeat(begin[own] - (np.cumsum(seen[own]) - seen[own]), seen[own]) + np.arange(int(seen[own].sum()))
                     step = np.diff(word[w[own]], prepend=0)
                     step[head] = word[w[own[head]]]
                     bigrams.append({"shard": int(shard[own[0]]), "contexts": squeeze(word[v[own[head]]]), "context_n": squeeze(count[v[own[head]]]),
                                     "context_words": squeeze(np.diff(np.append(head, len(own)))), "words": squeeze(step), "word_n": squeeze(count[w[own]]),
-                                    "train": squeeze(train[own]), "seen": squeeze(seen[own]), "docs": squeeze(doc[order[take]])})
+                                    "train": squeeze(train[own])})
                 yield pa.RecordBatch.from_pylist([{
                     "block": row["block"], "ids": row["ids"], "held": row["held"], "n_tokens": row["n_tokens"], "n_known": n_known.tolist(),
-                    "base": base.tolist(), "bigrams": bigrams}], schema)
+                    "base": base.tolist(), "seen": squeeze(seen[by]), "docs": docs, "bigrams": bigrams}], schema)
 
     out = blocks.drop("vocabulary").join(per_block, "block").select("block", "ids", "held", "n_tokens", "tokens", "words").mapInArrow(pairs, f"""
         block string, ids array<{kind.simpleString()}>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>,
-        bigrams array<struct<shard int, {", ".join(f"{v} binary" for v in VALUES)}>>""")
+        seen binary, docs binary, bigrams array<struct<shard int, {", ".join(f"{v} binary" for v in VALUES)}>>""")
     out = stored(out, "lm-bigrams")
     forget(blocks, counted)
     return out, total, known
@@ -158,7 +161,7 @@ def _bigrams(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
 
 def _shard_table(rows: pd.DataFrame, total: int, known: int) -> tuple:
     """The trie of a shard's bigrams, and its distinct queries: contexts and words (as places), log10 P(word) and
-    c(context); then the query of each entry of the rows, and the rows' values."""
+    c(context); then the query of each entry of the rows, and the number of entries of each row."""
     got = {v: [unsqueeze(x) for x in rows[v]] for v in VALUES}
     context = np.concatenate([np.repeat(c, n) for c, n in zip(got["contexts"], got["context_words"], strict=True)])
     context_n = np.concatenate([np.repeat(c, n) for c, n in zip(got["context_n"], got["context_words"], strict=True)])
@@ -170,7 +173,6 @@ def _shard_table(rows: pd.DataFrame, total: int, known: int) -> tuple:
     word, word_n, train = np.concatenate(word), np.concatenate(got["word_n"]), np.concatenate(got["train"])
     contexts, context = np.unique(context, return_inverse=True)
     words, word = np.unique(word, return_inverse=True)
-    got["words"].clear()
     log_word = np.log10((word_n + 0.5) / (total + 0.5 * (known + 1)))
     order = np.argsort(context * len(words) + word, kind="stable")
     new = np.append(True, (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1]))
@@ -183,7 +185,7 @@ def _shard_table(rows: pd.DataFrame, total: int, known: int) -> tuple:
     log_p = np.log10((count[there] + MU * 10 ** log_word[at]) / (context_n[at] + MU))
     _, one = np.unique(context[at], return_index=True)
     trie = BigramTrie.build(context[at], word[at], log_p, np.log10(MU / (context_n[at][one] + MU)), len(contexts), len(words))
-    return trie, context[first], word[first], log_word[first], context_n[first], number, got
+    return trie, context[first], word[first], log_word[first], context_n[first], number, [len(x) for x in got["train"]]
 
 
 def lm_tries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +203,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Returns one row for each row: the id column, held_out (the remainder is 1), n_tokens (words, lower-cased A-Z, and
     an end), n_known (tokens with a training count), train_tokens, base_score (add-half unigrams, log10), score (the
-    trie's log10 probability of the text; 8-bit codes, at most a 256th of their range off). A null or empty text is
+    trie's log10 probability of the text; 8-bit codes, at most a 256th of their range off, summed from single precision). A null or empty text is
     its end alone; a null id counts as the empty string; repeated rows count and are returned as often as they are
     there. With no training texts every token is unknown. The driver holds two numbers, N and V.
     """
@@ -209,33 +211,30 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = blocks.schema["ids"].dataType.elementType
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        buffer, context, word, log_word, context_n, number, got = _shard_table(rows, total, known)
+        buffer, context, word, log_word, context_n, number, sizes = _shard_table(rows, total, known)
         log_p, backoff = BigramTrie(buffer).query(context, word)
         backoff = np.where(np.isnan(backoff), np.log10(MU / (context_n + MU)), backoff)
-        log_p = np.where(np.isnan(log_p), backoff + log_word, log_p)[number]
-        sums, at = [], 0
-        for seen, docs in zip(got["seen"], got["docs"], strict=True):
-            n = int(docs.max()) + 1 if len(docs) else 0
-            sums.append(np.bincount(docs, np.repeat(log_p[at:at + len(seen)], seen), n).tolist())
-            at += len(seen)
-        return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "sums": sums})
+        log_p = np.where(np.isnan(log_p), backoff + log_word, log_p)
+        minus = (-log_p).astype("<f4").view("<u4")[number]
+        return pd.DataFrame({"block": rows["block"], "shard": rows["shard"],
+                             "minus": [squeeze(x) for x in np.split(minus, np.cumsum(sizes)[:-1])]})
 
     partial = blocks.select("block", F.explode("bigrams").alias("b")).select("block", "b.*").groupBy("shard").applyInPandas(
-        score, "block string, shard int, sums array<double>")
-    # sums of a block's texts over the shards, in order of the shards
-    per_block = partial.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "sums"))).alias("parts"))
+        score, "block string, shard int, minus binary")
+    # the block's bigrams lie in order of the shards
+    per_block = partial.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "minus"))).alias("parts"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                score_ = np.zeros(len(row["ids"]))
-                for p in row["parts"]:
-                    score_[:len(p["sums"])] += p["sums"]
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                log_p = -np.concatenate([unsqueeze(p["minus"]) for p in row["parts"]]).astype("<u4").view("<f4").astype(np.float64)
+                score_ = np.bincount(unsqueeze(row["docs"]), np.repeat(log_p, unsqueeze(row["seen"])), len(row["ids"]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["ids"], arrow_type(kind)), pa.array(row["held"], pa.bool_()), pa.array(row["n_tokens"], pa.int64()),
                     pa.array(row["n_known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score_)],
                     names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = blocks.select("block", "ids", "held", "n_tokens", "n_known", "base").join(per_block, "block").mapInArrow(
+    out = blocks.select("block", "ids", "held", "n_tokens", "n_known", "base", "seen", "docs").join(per_block, "block").mapInArrow(
         finish, f"id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from datalathe.llm import bpe, chat, counts, exact, lm, near, packing, pii, quality, suffix
+from datalathe.llm.text import unsqueeze
 from datalathe.llm.trie import BigramTrie
 from tests.llm import brute
 
@@ -212,6 +213,18 @@ def test_model(docs, rows):
     assert all(abs(a[5] - b[5]) <= 1e-9 * b[2] + 1e-9 and abs(a[6] - b[6]) <= 0.02 * b[2] for a, b in zip(have, want, strict=True))
 
 
+def test_model_sends_a_hot_bigram_once_for_each_block(spark):
+    rows = [(i, "hot " * (2000 + i) + f"w{i % 3}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = lm._bigrams(df, "doc_id", "text")[0]
+    sent = blocks.select(F.explode("bigrams").alias("b")).select("b.*").drop("shard").collect()
+    assert max(len(unsqueeze(x)) for r in sent for x in r) <= 8  # hot hot, end hot, hot w0-w2, w0-w2 end
+    have = sorted((key(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.lm_scores(df).collect())
+    want = brute.model(rows)
+    assert [x[:5] for x in have] == [x[:5] for x in want]
+    assert all(abs(a[6] - b[6]) <= 0.02 * b[2] for a, b in zip(have, want, strict=True))
+
+
 def test_model_beats_unigrams_on_held_out(spark):
     scored = lm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     r = scored.agg(F.sum("score").alias("two"), F.sum("base_score").alias("one")).first()
