@@ -1,4 +1,4 @@
-"""Exact deduplication by content sort, in DataFrame functions only."""
+"""Exact deduplication by the SHA-256 of whole texts, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datalathe.llm.text import shards
 
-#: Characters of a text's beginning and end that route it to its range partition. Whole texts are compared there.
+#: Characters of a text's beginning and end that route it to its range partition.
 ROUTE_CHARS = 64
 
 
@@ -26,9 +26,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row of each group, also when ids are repeated or null; a null id is smaller than any other), text_sha256 (of the
     normalised text), and with ``with_rows`` the whole input row as the struct ``row``.
 
-    Splitters sampled from the texts' beginnings, lengths and ends range-partition the rows, an external sort places
-    equal texts side by side, and neighbours are compared in full. A salt from the id splits a group that holds a
-    large part of all rows over partitions; each part sends one head, so no task meets the whole group.
+    Groups, their largest id and size come from a hash aggregation of all rows by text_sha256, which combines before
+    the exchange. The content sort decides only which of several rows with one text and one id is kept: splitters
+    sampled from the texts' beginnings, lengths and ends range-partition the rows, and a sort numbers rows that are
+    equal in text and salt. The salt from the id is on every row and splits a group that holds a large part of all
+    rows over partitions, so texts of one group with different ids need not be neighbours.
     """
     n = shards(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
