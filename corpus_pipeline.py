@@ -26,9 +26,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    kept = near_groups(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each near-duplicate group, the one with the smallest id (five-word shingles, similarity 0.8).
+
+    Rows are told apart by a stored number behind the id, as ids may be repeated or null; null ids come last."""
+    number = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("place"))
+    rows = stored(docs.select(number.alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "near-rows")
+    kept = near_groups(rows.select("number", "row.text"), shingle=5, percent=80, id_col="number").where("kept").select("number")
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def remove_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,6 +267,15 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark):
+    r = random.Random(7)
+    one, two, three = (" ".join(f"w{r.randrange(10**6)}" for _ in range(150)) for _ in range(3))
+    rows = [(1, one), (1, one + " more"), (None, one + " other"), (2, two), (None, three), (None, three + " more"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.text[:20]) for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, one[:20]), (2, two[:20]), (None, three[:20]), (None, "")], key=str)
+
+
 def test_pipeline(spark):
     docs, sf = spark.read.parquet(DOCS), DOCS.rsplit("/", 1)[0]
     rows = {r.doc_id: r.text for r in docs.collect()}
