@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import datalathe
-from datalathe.llm import bpe, chat, counts, exact, lm, near, packing, pii, quality, suffix
+from datalathe.llm import bpe, chat, counts, exact, lm, near, packing, pii, quality, secrets, suffix
 
 _shipped: set[str] = set()
 
@@ -97,12 +97,20 @@ def op10_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.lm_scores(documents(spark, sf))
 
 
+def op13_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's source is its owner; each document is a repository."""
+    out = secrets.scan_secrets(documents(spark, sf), owner="source")
+    counted = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return out.select("doc_id", *counted, F.sha2(secrets.written("base").cast("binary"), 256).alias("base_sha256"), secrets.written("found").alias("spans"),
+                      F.size(F.filter("found", lambda s: s["live"])).cast("bigint").alias("n_live"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_suffix, op5_pii, op6_counts, op7_exact, op8_near, op9_chat, op10_lm, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_suffix, op5_pii, op6_counts, op7_exact, op8_near, op9_chat, op10_lm, op13_secrets, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RENDER = "lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)"
