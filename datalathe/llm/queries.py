@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import datalathe
-from datalathe.llm import bpe, chat, counts, exact, lm, near, packing, pii, quality, secrets, suffix
+from datalathe.llm import bpe, chat, convtrie, counts, exact, lm, near, packing, pii, quality, secrets, suffix
 
 _shipped: set[str] = set()
 
@@ -97,6 +97,16 @@ def op10_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.lm_scores(documents(spark, sf))
 
 
+def op11_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations rebuilt upon the first turns of every fifth one, so that they share prefixes."""
+    ship(spark)
+    turns = convtrie.numbered_turns(spark.read.parquet(f"{sf}/conversations.parquet"))
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    rebuilt, convs = convtrie.with_shared_heads(turns, head, F.col("conv") - F.col("conv") % 5)
+    return convtrie.prefix_nodes(rebuilt, convs).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+                                                        F.col("saved_bytes").alias("saved_tokens"), "ends_sha256")
+
+
 def op13_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """A document's source is its owner; each document is a repository."""
     out = secrets.scan_secrets(documents(spark, sf), owner="source")
@@ -110,7 +120,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_suffix, op5_pii, op6_counts, op7_exact, op8_near, op9_chat, op10_lm, op13_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_suffix, op5_pii, op6_counts, op7_exact, op8_near, op9_chat, op10_lm, op11_trie, op13_secrets, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RENDER = "lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)"
@@ -150,5 +160,24 @@ ORACLE = {
                coalesce(array_to_string(list_transform(a[n + 1:], {_MASK}), ','), '') AS chosen_mask,
                coalesce(array_to_string(list_transform(b[n + 1:], {_MASK}), ','), '') AS rejected_mask FROM r""",
 }
+_CRC_STEP = "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {_CRC_STEP})))"""
+ORACLE["op11_trie"] = f"""
+    WITH t AS (
+        SELECT conv_id AS c, [coalesce(role, ''), coalesce(text, '')] AS x,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+        FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list(x ORDER BY p) AS s FROM t GROUP BY c),
+    h AS (SELECT c, s, {_CRC} % 9 AS h FROM own),
+    r AS (SELECT h.c, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN own b ON b.c = h.c - h.c % 5),
+    e AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+    n AS (SELECT d, s[1:d] AS k, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(s) = d), '') AS ends
+          FROM e GROUP BY ALL),
+    m AS (SELECT n.*, coalesce(y.n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(k[d][2]) END AS saved
+          FROM n LEFT JOIN (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL) y USING (d, k))
+    SELECT a.conv_id, a.d AS depth, (SELECT z.conv_id FROM n z WHERE z.d = a.d - 1 AND z.k = a.k[1:a.d - 1]) AS parent_conv_id, a.n_convs,
+           CAST(a.n_children AS BIGINT) AS n_children, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+    FROM m a JOIN m b ON b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY ALL"""
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
