@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import datalathe
-from datalathe.llm import bpe, chat, convtrie, counts, exact, lm, near, packing, pii, quality, secrets, suffix
+from datalathe.llm import bpe, chat, convtrie, counts, exact, lm, near, packing, pii, quality, ranking, secrets, suffix
 
 _shipped: set[str] = set()
 
@@ -107,6 +107,11 @@ def op11_trie(spark: SparkSession, sf: str) -> DataFrame:
                                                         F.col("saved_bytes").alias("saved_tokens"), "ends_sha256")
 
 
+def op12_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    index = ranking.build_index(documents(spark, sf))
+    return ranking.rank(index, spark.read.parquet(f"{sf}/benchmark.parquet"), k=50).select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op13_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """A document's source is its owner; each document is a repository."""
     out = secrets.scan_secrets(documents(spark, sf), owner="source")
@@ -120,7 +125,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_suffix, op5_pii, op6_counts, op7_exact, op8_near, op9_chat, op10_lm, op11_trie, op13_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_suffix, op5_pii, op6_counts, op7_exact, op8_near, op9_chat, op10_lm, op11_trie, op12_ranking, op13_secrets, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RENDER = "lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)"
@@ -179,5 +184,17 @@ ORACLE["op11_trie"] = f"""
     SELECT a.conv_id, a.d AS depth, (SELECT z.conv_id FROM n z WHERE z.d = a.d - 1 AND z.k = a.k[1:a.d - 1]) AS parent_conv_id, a.n_convs,
            CAST(a.n_children AS BIGINT) AS n_children, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
     FROM m a JOIN m b ON b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY ALL"""
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLE["op12_ranking"] = f"""
+    WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+    c AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM d),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term, nd),
+    i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) AS BIGINT) AS score
+          FROM i JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50"""
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

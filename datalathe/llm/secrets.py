@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datalathe.llm.text import LOWER, Texts, arrow_type, earlier, later, stored, text_blocks
+from datalathe.llm.text import LOWER, Texts, arrow_type, runs, stored, text_blocks
 
 #: Kinds of spans in the order of the digests; "token" is what ownership adds.
 KINDS = ["assign", "access", "hex", "token"]
@@ -38,13 +38,6 @@ _DIGITS, _SMALL, _LARGE = b"0123456789", bytes(range(97, 123)), bytes(range(65,
 HEX, UPPER, RUN = _class(_DIGITS + b"abcdef"), _class(_DIGITS + _LARGE), _class(_DIGITS + _SMALL + _LARGE + b"+/_=-")
 
 
-def runs(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes inside a class; no run crosses a cut."""
-    starts = np.flatnonzero(inside & ~(earlier(inside) & ~cut[:-1]))
-    ends = np.flatnonzero(inside & ~(later(inside) & ~cut[1:])) + 1
-    return starts, ends
-
-
 def entropy(value: bytes) -> float:
     """Bits a character."""
     shares = np.unique(np.frombuffer(value, np.uint8), return_counts=True)[1] / len(value)

@@ -102,6 +102,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTE
             start = stop
 
 
+def runs(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes inside a class; no run crosses a cut (one more value than bytes)."""
+    starts = np.flatnonzero(inside & ~(earlier(inside) & ~cut[:-1]))
+    ends = np.flatnonzero(inside & ~(later(inside) & ~cut[1:])) + 1
+    return starts, ends
+
+
 def word_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and where each text's words begin (n + 1 values)."""
     inside = ~SPACE[texts.buf]
