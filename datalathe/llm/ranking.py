@@ -2,7 +2,7 @@
 
 The impact of a term in a document is its weight times a saturated frequency. A document's impacts fold into a sketch:
 each term hashes to a coordinate, which keeps the largest impact that falls there, rounded up to a byte. The sum of a
-query's coordinates is an upper bound of its score. A batch of queries is looked up in many sketches at once, and
+query's coordinates, each no more than its term's weight allows in that document, is an upper bound of its score. A batch of queries is looked up in many sketches at once, and
 documents are rescored exactly in order of falling bounds until the bound is below the k-th score found so far."""
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from datalathe.llm.text import (LOWER, Texts, arrow_type, distinct_spans, forget, runs, slices, span_hashes, squeeze, stored, text_blocks, two_columns, unsqueeze)
 
 #: Coordinates of a sketch; documents looked up and rescored at once; queries and query terms of a batch.
-WIDTH, DOCS, RESCORED, QUERIES, QUERY_TERMS = 1024, 1024, 64, 512, 100_000
+WIDTH, DOCS, RESCORED, QUERIES, QUERY_TERMS = 4096, 1024, 64, 512, 100_000
 
 TERM = np.zeros(256, bool)
 TERM[48:58] = TERM[65:91] = TERM[97:123] = TERM[128:] = True
@@ -50,10 +50,11 @@ def weights(holders: np.ndarray, n_docs: int) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(d) + 1))) for d in values], np.int64)[at]
 
 
-def impacts(lengths: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray, weight: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
-    """weight * ((10^9 tf) div (1000 tf + 20 m)) of each posting, m = 50 + (50 n N) div L of its document."""
+def saturated(lengths: np.ndarray, sizes: np.ndarray, tf: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
+    """(10^9 tf) div (1000 tf + 20 m) of each posting, m = 50 + (50 n N) div L of its document; an impact is a term's
+    weight times this."""
     m = np.repeat(50 + (50 * lengths * n_docs) // max(1, n_terms), sizes)
-    return weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
+    return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
 def begins(sizes: np.ndarray) -> np.ndarray:
@@ -123,7 +124,10 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 lengths, sizes, term, tf = (unsqueeze(row.column(c)[0].as_py()) for c in ("lengths", "sizes", "term", "tf"))
                 terms = row.column("terms").flatten()
                 df = row.column("df").flatten().to_numpy() if len(terms) else np.zeros(0, np.int64)
-                impact = impacts(lengths, sizes, term, tf, weights(df, n_docs), n_docs, n_terms)
+                part = saturated(lengths, sizes, tf, n_docs, n_terms)
+                impact = weights(df, n_docs)[term] * part if len(term) else part
+                peak = np.zeros(len(sizes), np.int64)
+                np.maximum.at(peak, np.repeat(np.arange(len(sizes)), sizes), part)
                 place = np.repeat(np.arange(len(sizes)), sizes) * width + coordinates(terms, width)[term]
                 order = np.argsort(place, kind="stable")
                 place, impact = place[order], impact[order]
@@ -132,11 +136,11 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 doc, coordinate = np.divmod(place[new], width)
                 yield pa.RecordBatch.from_arrays([
                     row.column("ids"), *(row.column(c) for c in ("lengths", "sizes", "term", "tf", "terms")), pa.array([squeeze(df)], pa.binary()),
-                    *(pa.array([squeeze(x)], pa.binary()) for x in (np.bincount(doc, minlength=len(sizes)), coordinate, most))],
-                    names=["ids", "lengths", "sizes", "term", "tf", "terms", "df", "filled", "coordinate", "most"])
+                    *(pa.array([squeeze(x)], pa.binary()) for x in (peak, np.bincount(doc, minlength=len(sizes)), coordinate, most))],
+                    names=["ids", "lengths", "sizes", "term", "tf", "terms", "df", "peak", "filled", "coordinate", "most"])
 
     folded = blocks.drop("n_docs", "n_terms", "holders").join(by_block, "block", "left").mapInArrow(
-        fold, f"ids array<{kind.simpleString()}>, {blobs}, terms array<string>, df binary, filled binary, coordinate binary, most binary")
+        fold, f"ids array<{kind.simpleString()}>, {blobs}, terms array<string>, df binary, peak binary, filled binary, coordinate binary, most binary")
     index.table = stored(folded, "lexical-index")
     forget(blocks)
     return index
@@ -184,33 +188,31 @@ class Searcher:
         self.looked_up = self.rescored = 0
 
     def block(self, ids: list, lengths: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray, terms: pa.Array, df: np.ndarray,
-              filled: np.ndarray, coordinate: np.ndarray, most: np.ndarray) -> None:
+              peak: np.ndarray, filled: np.ndarray, coordinate: np.ndarray, most: np.ndarray) -> None:
         here = pc.index_in(self.names, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) if len(terms) else np.full(len(self.names), -1)
         asked = np.zeros(len(terms), bool)
         asked[here[here >= 0]] = True
         own = [here[q][here[q] >= 0] for q in self.queries]  # terms of the block's vocabulary
-        table = np.zeros((self.width, len(self.queries)), np.float32)
-        for j, q in enumerate(self.queries):
-            np.add.at(table[:, j], self.coordinates[q][here[q] >= 0], 1)
+        places = [self.coordinates[q][here[q] >= 0] for q in self.queries]
+        weight = weights(df, self.n_docs) if len(df) else df
         # only postings of terms that some query asks for are rescored
         doc = np.repeat(np.arange(len(sizes)), sizes)
         kept = asked[term]
         doc, term, tf = doc[kept], term[kept], tf[kept]
         sizes = np.bincount(doc, minlength=len(sizes))
-        impact = impacts(lengths, sizes, term, tf, weights(df, self.n_docs), self.n_docs, self.n_terms) if len(term) else np.zeros(0, np.int64)
+        impact = weight[term] * saturated(lengths, sizes, tf, self.n_docs, self.n_terms) if len(term) else np.zeros(0, np.int64)
         at, sketch_at = begins(sizes), begins(filled)
         wanted = np.zeros(len(terms), bool)
         for a in range(0, len(ids), DOCS):
             b = min(len(ids), a + DOCS)
-            sketches = np.zeros((b - a, self.width), np.float32)
+            sketches = np.zeros((b - a, self.width), np.uint8)
             x, y = sketch_at[a], sketch_at[b]
             sketches[np.repeat(np.arange(b - a), filled[a:b]), coordinate[x:y]] = most[x:y]
-            bounds = sketches @ table  # whole numbers below 2^24, exact
-            self.looked_up += bounds.size
+            self.looked_up += (b - a) * len(own)
             for j, mine in enumerate(own):
                 if not len(mine):
                     continue
-                bound = bounds[:, j].astype(np.int64) * self.unit
+                bound = np.minimum(sketches[:, places[j]].astype(np.int64) * self.unit, peak[a:b, None] * weight[mine][None, :]).sum(axis=1)
                 order = np.argsort(-bound, kind="stable")
                 bound = bound[order]
                 wanted[mine] = True
@@ -245,7 +247,7 @@ def rank(index: LexicalIndex, items: DataFrame, k: int = 50, id_col: str = "item
     facts = (index.n_docs, index.n_terms, index.width, index.unit())
     item_kind = items.schema[id_col].dataType
     item_type, id_type = arrow_type(item_kind), index.table.schema["ids"].dataType.elementType
-    columns = ["ids", "lengths", "sizes", "term", "tf", "terms", "df", "filled", "coordinate", "most"]
+    columns = ["ids", "lengths", "sizes", "term", "tf", "terms", "df", "peak", "filled", "coordinate", "most"]
     schema = f"item bigint, item_id {item_kind.simpleString()}, id {index.id_type}, score bigint"
     out = None
     for queries in batches_of(query_terms(items, id_col, text_col)):
@@ -255,7 +257,7 @@ def rank(index: LexicalIndex, items: DataFrame, k: int = 50, id_col: str = "item
                 for n in range(batch.num_rows):
                     row = batch.slice(n, 1)
                     searcher.block(row.column(0)[0].as_py(), *(unsqueeze(row.column(c)[0].as_py()) for c in range(1, 5)), row.column(5).flatten(),
-                                   *(unsqueeze(row.column(c)[0].as_py()) for c in range(6, 10)))
+                                   *(unsqueeze(row.column(c)[0].as_py()) for c in range(6, 11)))
             for (number, item, _), best in zip(queries, searcher.best, strict=True):
                 if best:
                     yield pa.RecordBatch.from_arrays([

@@ -81,16 +81,16 @@ def test_bounds_hold_and_prune(spark):
     items = [(n, i, t) for n, (i, t) in enumerate(ranking.query_terms(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", "text"))]
     searcher = ranking.Searcher(items, 50, (index.n_docs, index.n_terms, index.width, index.unit()))
     for row in index.table.collect():
-        numbers = {c: unsqueeze(bytes(row[c])) for c in ("lengths", "sizes", "term", "tf", "df", "filled", "coordinate", "most")}
+        numbers = {c: unsqueeze(bytes(row[c])) for c in ("lengths", "sizes", "term", "tf", "df", "peak", "filled", "coordinate", "most")}
         terms = ranking.pa.array(row.terms)
-        searcher.block(row.ids, *(numbers[c] for c in ("lengths", "sizes", "term", "tf")), terms, *(numbers[c] for c in ("df", "filled", "coordinate", "most")))
-        impact = ranking.impacts(numbers["lengths"], numbers["sizes"], numbers["term"], numbers["tf"], ranking.weights(numbers["df"], index.n_docs), index.n_docs, index.n_terms)
+        searcher.block(row.ids, *(numbers[c] for c in ("lengths", "sizes", "term", "tf")), terms, *(numbers[c] for c in ("df", "peak", "filled", "coordinate", "most")))
+        impact = ranking.weights(numbers["df"], index.n_docs)[numbers["term"]] * ranking.saturated(numbers["lengths"], numbers["sizes"], numbers["tf"], index.n_docs, index.n_terms)
         sketch = np.zeros((len(row.ids), index.width), np.int64)
         sketch[np.repeat(np.arange(len(row.ids)), numbers["filled"]), numbers["coordinate"]] = numbers["most"]
         at = ranking.coordinates(terms, index.width)[numbers["term"]]
         assert (impact <= sketch[np.repeat(np.arange(len(row.ids)), numbers["sizes"]), at] * index.unit()).all() and numbers["most"].max() <= 255
     print(f"rescored {searcher.rescored} of {searcher.looked_up}")
-    assert searcher.rescored < searcher.looked_up / 2
+    assert searcher.rescored < searcher.looked_up / 5
 
 
 def test_query_equals_sql(spark):
