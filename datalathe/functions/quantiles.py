@@ -225,6 +225,8 @@ def _fallback(df, cols, pending) -> dict:
 # ------------------------------------------------------------ per group
 
 GROUP_BROADCAST_MAX = 1_000_000
+# Without a broadcast each group is dealt over this many tasks.
+GROUP_SALTS = 32
 # per-group arrays hold at most this many doubles (0.8 MB)
 GROUP_COLLECT_LIMIT = 100_000
 
@@ -290,8 +292,19 @@ def grouped_quantiles(df: DataFrame, keys, column: str, probs, *, bins: int = BI
              .checkpoint(eager=True))
     n_groups = state.count() // (2 * max(1, len(probs)))
 
+    few = n_groups * max(1, len(probs)) * 2 <= GROUP_BROADCAST_MAX
+    salts = 1 if few else GROUP_SALTS
+
     def join_side(side):
-        return F.broadcast(side) if n_groups * max(1, len(probs)) * 2 <= GROUP_BROADCAST_MAX else side
+        return F.broadcast(side) if few else side
+
+    def spread(side):
+        """Rows dealt over the salts by value: without a broadcast, a hot group's rows meet their brackets in as many
+        tasks, and the histogram's aggregate deals them anew by bracket and bin."""
+        return side.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(salts)).cast("int"))
+
+    def salted(side):
+        return side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     key_names = [f"`{k}`" for k in keys]
     for _ in range(MAX_ROUNDS):
@@ -303,7 +316,7 @@ def grouped_quantiles(df: DataFrame, keys, column: str, probs, *, bins: int = BI
         finite = (F.abs(F.col("lo")) < inf) & (F.abs(F.col("hi")) < inf)
         b = F.when(finite, _bin_position(F.col("__v"), F.col("lo"), F.col("hi"), bins, True)).otherwise(
             _bin_position(F.col("__v"), F.col("lo"), F.col("hi"), bins, False))
-        tagged = (base.join(join_side(probes), keys)
+        tagged = (spread(base).join(join_side(salted(probes)), [*keys, "__salt"])
                   .where(F.col("__v").between(F.col("lo"), F.col("hi")))
                   .select(*key_names, "lo", "hi", b.alias("b"), "__v"))
         hist = tagged.groupBy(*key_names, "lo", "hi", "b").agg(
@@ -319,7 +332,7 @@ def grouped_quantiles(df: DataFrame, keys, column: str, probs, *, bins: int = BI
 
     small = state.where(F.col("lo") < F.col("hi"))
     probes = small.select(*key_names, "lo", "hi").distinct()
-    arrays = (base.join(join_side(probes), keys).where(F.col("__v").between(F.col("lo"), F.col("hi")))
+    arrays = (spread(base).join(join_side(salted(probes)), [*keys, "__salt"]).where(F.col("__v").between(F.col("lo"), F.col("hi")))
               .groupBy(*key_names, "lo", "hi").agg(F.sort_array(F.collect_list("__v")).alias("a")))
     picked = (small.join(arrays, keys + ["lo", "hi"])
               .select(*key_names, "pi", "side", "frac",

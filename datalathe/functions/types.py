@@ -164,3 +164,9 @@ def missing(df: DataFrame, name: str) -> Column:
     if is_float(dtype):
         return col(name).isNull() | F.isnan(col(name))
     return col(name).isNull()
+
+
+def row_text(columns, seed) -> Column:
+    """One text for the seed and the values of ``columns``, null as ``\\N``: what row hashes that other engines can repeat
+    are taken of."""
+    return F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("\\N")) for c in columns])

@@ -29,9 +29,9 @@ from datalathe.functions.types import (
 )
 from datalathe.session import ensure_checkpoint_dir
 
-# Dictionaries up to this many values are applied as a map literal (no join).
-MAP_LITERAL_MAX = 5_000
-# Larger dictionaries are broadcast only below these checked bounds.
+# Dictionaries up to this many values are read to the driver and numbered there; larger ones are numbered where they are.
+DRIVER_DICTIONARY_MAX = 5_000
+# Dictionaries are broadcast as hash tables, and only below these checked bounds.
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 ONE_HOT_MAX = 1_000
@@ -169,16 +169,15 @@ def _label_key(df: DataFrame, name: str) -> F.Column:
 def label_dictionary(df: DataFrame, name: str) -> DataFrame | dict:
     """Codes 0..k-1 for the distinct text forms of ``name`` in text order.
 
-    Small dictionaries come back as a Python dict (applied as a map literal).
-    Large ones are built distributed: a global sort (range partitioned), an
+    Small dictionaries come back as a Python dict. Large ones are built distributed: a global sort (range partitioned), an
     id that is consecutive inside each partition, a reliable checkpoint so
     both uses see the same partitions, then per-partition offsets (one row
     per partition) turn ids into dense codes. No step gathers the values.
     """
     key = _label_key(df, name)
     distinct = df.select(key.alias("s")).distinct()
-    head = [r["s"] for r in distinct.orderBy("s").limit(MAP_LITERAL_MAX + 1).collect()]
-    if len(head) <= MAP_LITERAL_MAX:
+    head = [r["s"] for r in distinct.orderBy("s").limit(DRIVER_DICTIONARY_MAX + 1).collect()]
+    if len(head) <= DRIVER_DICTIONARY_MAX:
         return {s: i for i, s in enumerate(head)}
     ensure_checkpoint_dir(df.sparkSession)
     ordered = (
@@ -201,14 +200,9 @@ def label_dictionary(df: DataFrame, name: str) -> DataFrame | dict:
 def _apply_dictionary(df: DataFrame, name: str, dictionary, out_type: str = "int") -> DataFrame:
     key = _label_key(df, name)
     if isinstance(dictionary, dict):
-        pairs = []
-        for s, i in dictionary.items():
-            pairs += [F.lit(s), F.lit(i)]
-        mapping = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
-        code = F.element_at(mapping, key) if pairs else F.lit(None)
-        return df.withColumn(name, code.cast(out_type))
-    # large dictionary: broadcast only under checked bounds, else a shuffle
-    # join (AQE splits a hot key's partition)
+        dictionary = df.sparkSession.createDataFrame(list(dictionary.items()), "s string, code long")
+    # a hash join whatever the number of codes: broadcast only under checked
+    # bounds, else a shuffle join (AQE splits a hot key's partition)
     size = dictionary.agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("b")).first()
     side = dictionary.withColumnRenamed("s", "__key").withColumnRenamed("code", "__code")
     if size["n"] <= BROADCAST_MAX_ROWS and (size["b"] or 0) + 16 * size["n"] <= BROADCAST_MAX_BYTES:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datalathe.functions.types import col, dtype_name, is_datetime, is_integral, missing, schema_fingerprint, value
+from datalathe.functions.fingerprint import distinct_counts
+from datalathe.functions.types import col, dtype_name, is_datetime, is_integral, missing, schema_fingerprint
 
 CONTRACT_SCHEMA = "column_name string, rule string, passed boolean, message string"
 HISTORY_RUNS = 10
@@ -19,9 +20,10 @@ def contract_check(df: DataFrame, contract: dict) -> DataFrame:
     """Rows ``(column_name, rule, passed, message)`` for every rule of a
     contract ``{"columns": {name: {type, unique, nullable}}}``.
 
-    Presence and type are schema checks on the driver. Every ``unique`` and
-    ``nullable: false`` rule is one aggregate: ``unique`` counts nulls as
-    values (two nulls break it), like pandas' ``is_unique``.
+    Presence and type are schema checks on the driver. Nulls of all rules come
+    from one aggregate, distinct values of all ``unique`` columns from one
+    unpivot into fingerprints: ``unique`` counts nulls as values (two nulls
+    break it), like pandas' ``is_unique``.
     """
     spec = contract.get("columns", {})
     results, aggs, pending = [], [], []
@@ -41,8 +43,7 @@ def contract_check(df: DataFrame, contract: dict) -> DataFrame:
                 results.append((name, "type", ok, None if ok else f"Column {name} expected string, got {got}"))
         if rules.get("unique") is True:
             i = len(pending)
-            aggs += [F.count(F.lit(1)).alias(f"r{i}"), F.count_distinct(value(df, name)).alias(f"d{i}"),
-                     F.count_if(missing(df, name)).alias(f"z{i}")]
+            aggs += [F.count(F.lit(1)).alias(f"r{i}"), F.count_if(missing(df, name)).alias(f"z{i}")]
             pending.append((name, "unique", i))
         if rules.get("nullable") is False:
             i = len(pending)
@@ -50,9 +51,10 @@ def contract_check(df: DataFrame, contract: dict) -> DataFrame:
             pending.append((name, "nullable", i))
     if aggs:
         r = df.agg(*aggs).first()
+        distinct = distinct_counts(df, [name for name, rule, _ in pending if rule == "unique"])
         for name, rule, i in pending:
             if rule == "unique":
-                ok = r[f"r{i}"] == r[f"d{i}"] + min(1, r[f"z{i}"])
+                ok = r[f"r{i}"] == distinct[name] + min(1, r[f"z{i}"])
                 results.append((name, "unique", ok, None if ok else f"Column {name} contains duplicates"))
             else:
                 ok = r[f"z{i}"] == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datalathe.functions.stats import unpivot_text
-from datalathe.functions.types import num, numeric_columns, string_columns
+from datalathe.functions.types import col, num, numeric_columns, string_columns
 
 # Name keywords and formats, as the reference states them.
 SUM_KEYWORDS = ["sales", "revenue", "profit", "amount", "cost", "price", "total"]
@@ -31,15 +31,25 @@ def kpi_rules(df: DataFrame) -> list[tuple[str, str, str]]:
     return rules
 
 
-def detect_kpis(df: DataFrame, top_target: int = KPI_TARGET, top_max_distinct: int = TOP_MAX_DISTINCT,
+def few_valued(df: DataFrame, columns, fewer_than: int | None) -> list[str]:
+    """The columns that may have fewer than so many distinct values, by a HyperLogLog++ sketch of each: one narrow
+    aggregate of fixed size. A sketch is off by a few percent, so twice the limit is let through; exact counts decide."""
+    if fewer_than is None or not columns:
+        return list(columns)
+    r = df.agg(*[F.approx_count_distinct(col(c), rsd=0.05).alias(f"a{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if r[f"a{i}"] < 2 * fewer_than]
+
+
+def detect_kpis(df: DataFrame, top_target: int | None = KPI_TARGET, top_max_distinct: int | None = TOP_MAX_DISTINCT,
                 limit: int | None = None) -> DataFrame:
     """Rows ``(kpi_id, label, value, text_value, format)``.
 
     Numeric totals and averages come from one aggregate. With fewer than
     four, text columns with fewer than 50 distinct values add
     ``"value (count)"`` of their most frequent value (ties: smallest) until
-    there are ``top_target``; ``limit`` cuts the list (None keeps all). Distinct counts and modes of all text
-    columns come from one unpivot and two partial aggregates.
+    there are ``top_target``; ``limit`` cuts the list. None lifts any of the three limits. A sketch of every text
+    column comes first, so that values of wide or long columns are never counted; distinct counts and modes of the
+    others come from one unpivot and two partial aggregates.
     """
     spark = df.sparkSession
     rules = kpi_rules(df)
@@ -53,8 +63,8 @@ def detect_kpis(df: DataFrame, top_target: int = KPI_TARGET, top_max_distinct: i
         for i, (kind, c, fmt) in enumerate(rules):
             label = f"Total {c}" if kind == "sum" else f"Avg {c}"
             kpis.append((f"{kind}_{c}", label, r[f"k{i}"], None, fmt))
-    if len(kpis) < top_target:
-        texts = string_columns(df)
+    if top_target is None or len(kpis) < top_target:
+        texts = few_valued(df, string_columns(df), top_max_distinct)
         if texts:
             counts = unpivot_text(df, texts, with_order_key=False).groupBy("i", "s").agg(F.count("*").alias("n"))
             per = counts.groupBy("i").agg(F.count("*").alias("u"),
@@ -62,9 +72,9 @@ def detect_kpis(df: DataFrame, top_target: int = KPI_TARGET, top_max_distinct: i
             found = {r["i"]: r for r in per.collect()}
             for i, c in enumerate(texts):
                 r = found.get(i)
-                if r is None or r["u"] >= top_max_distinct:
+                if r is None or (top_max_distinct is not None and r["u"] >= top_max_distinct):
                     continue
                 kpis.append((f"top_{c}", f"Top {c}", None, f"{r['m']['s']} ({-r['m']['neg']})", "text"))
-                if len(kpis) >= top_target:
+                if top_target is not None and len(kpis) >= top_target:
                     break
     return spark.createDataFrame(kpis if limit is None else kpis[:limit], SCHEMA)

@@ -4,7 +4,7 @@ histograms, top categories, box plots, text insights and chart suggestions.
 Plans are written so that one job serves many columns: all scalar
 statistics in one ``agg``; all histograms or value counts through one
 unpivot and one shuffle; quality facts (rows, duplicates, nulls per column)
-from one group-by over the whole row.
+from one group-by over row fingerprints.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datalathe.functions.fingerprint import MASK_BITS, distinct_counts, duplicate_rows, row_facts
 from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.stats import agg_in_chunks, unpivot_text
 from datalathe.functions.types import (
@@ -23,6 +24,7 @@ from datalathe.functions.types import (
     col,
     dtype_name,
     missing,
+    row_text,
     num,
     numeric_columns,
     string_columns,
@@ -32,7 +34,6 @@ from datalathe.functions.types import (
 PREVIEW_ROWS = 50
 CORR_CHUNK = 1_500
 AGG_CHUNK = 1_500
-DISTINCT_CHUNK = 32
 
 
 def _groupable(df: DataFrame) -> list[str]:
@@ -66,27 +67,29 @@ def table_summary(df: DataFrame) -> dict:
 
 
 def quality_facts(df: DataFrame) -> dict:
-    """Rows, duplicate rows and nulls per column from one job.
+    """Rows, duplicate rows and nulls per column from one pass over fingerprints.
 
-    Rows are grouped on every column (map-side combined, so a value repeated
-    in a third of the table collapses before the shuffle); the group counts
-    then give the row count, ``sum(n - 1)`` duplicates and, weighting each
-    group by its size, the nulls of every column.
+    Rows are grouped by a 128-bit fingerprint and the bits of their nulls (map-side combined, so a row repeated in a
+    third of the table collapses before the shuffle). The group counts give the row count and, weighting each group by
+    its size, the nulls of every column. Only where a fingerprint is repeated are the rows read again and compared in
+    full; unique rows never leave their task.
     """
     cols = df.columns
     keys = _groupable(df)
     if not cols:
         return {"rows": df.count(), "duplicates": 0, "nulls": {}}
-    grouped = df.groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    aggs = [F.sum("__n").alias("rows"), F.sum(F.col("__n") - 1).alias("dups")]
-    aggs += [F.sum(F.when(missing(df, c), F.col("__n")).otherwise(0)).alias(f"z{i}") for i, c in enumerate(keys)]
+    grouped, masks = row_facts(df, keys)
+    aggs = [F.sum("__n").alias("rows"), F.count_if(F.col("__n") > 1).alias("repeated")]
+    aggs += [F.sum(F.when(F.col(masks[i // MASK_BITS]).bitwiseAND(F.lit(1 << i % MASK_BITS)) != 0, F.col("__n")).otherwise(0)).alias(f"z{i}")
+             for i in range(len(keys))]
     r = grouped.agg(*aggs).first()
     nulls = {c: int(r[f"z{i}"] or 0) for i, c in enumerate(keys)}
+    duplicates = duplicate_rows(df, keys, grouped, masks) if r["repeated"] else 0
     extra = [c for c in cols if c not in keys]
     if extra:
         z = df.agg(*[F.count_if(missing(df, c)).alias(f"e{i}") for i, c in enumerate(extra)]).first()
         nulls.update({c: int(z[f"e{i}"]) for i, c in enumerate(extra)})
-    return {"rows": int(r["rows"] or 0), "duplicates": int(r["dups"] or 0), "nulls": {c: nulls[c] for c in cols}}
+    return {"rows": int(r["rows"] or 0), "duplicates": duplicates, "nulls": {c: nulls[c] for c in cols}}
 
 
 def duplicate_count(df: DataFrame) -> int:
@@ -128,24 +131,21 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, *, approx_distinct: bool = False) -> DataFrame:
-    """Rows ``(column_name, missing, missing_pct, unique, dtype)``; ``unique``
-    skips null. Exact distinct counts expand each row once per column before
-    the partial aggregate, so they run ``DISTINCT_CHUNK`` columns at a time;
-    ``approx_distinct`` uses HyperLogLog++ (no expansion, fixed memory)."""
+    """Rows ``(column_name, missing, missing_pct, unique, dtype)``; ``unique`` skips null. Distinct values of all columns
+    are counted from one unpivot into fingerprints (no row is expanded with its other columns); ``approx_distinct`` uses
+    HyperLogLog++ (fixed memory, no shuffle of values)."""
     cols = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
     spark = df.sparkSession
     schema = "column_name string, missing long, missing_pct double, unique long, dtype string"
     base = [F.count(F.lit(1)).alias("rows"), *[F.count_if(missing(df, c)).alias(f"z{i}") for i, c in enumerate(cols)]]
     if approx_distinct:
-        r = agg_in_chunks(df, base + [F.approx_count_distinct(value(df, c)).alias(f"u{i}") for i, c in enumerate(cols)],
-                          AGG_CHUNK)
+        r = agg_in_chunks(df, base + [F.approx_count_distinct(value(df, c)).alias(f"u{i}") for i, c in enumerate(cols)], AGG_CHUNK)
+        unique = [r[f"u{i}"] for i in range(len(cols))]
     else:
-        # the plain counts ride along with the first chunk of distinct counts
-        distinct = [F.count_distinct(value(df, c)).alias(f"u{i}") for i, c in enumerate(cols)]
-        r = df.agg(*base, *distinct[:DISTINCT_CHUNK]).first().asDict()
-        r.update(agg_in_chunks(df, distinct[DISTINCT_CHUNK:], DISTINCT_CHUNK))
+        r = agg_in_chunks(df, base, AGG_CHUNK)
+        unique = list(distinct_counts(df, cols).values())
     rows = r["rows"]
-    out = [(c, int(r[f"z{i}"]), (r[f"z{i}"] * 100.0 / rows) if rows else 0.0, int(r[f"u{i}"]), dtype_name(df, c))
+    out = [(c, int(r[f"z{i}"]), (r[f"z{i}"] * 100.0 / rows) if rows else 0.0, int(unique[i]), dtype_name(df, c))
            for i, c in enumerate(cols)]
     return spark.createDataFrame(out, schema)
 
@@ -355,7 +355,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, columns=None) -> DataFram
     (TakeOrderedAndProject keeps n rows per partition, never more)."""
     cols = list(columns) if columns else df.columns
     base = df.select(*[col(c) for c in cols])
-    return base.orderBy(F.xxhash64(F.lit(seed), *[col(c) for c in cols])).limit(n)
+    return base.orderBy(F.md5(row_text(cols, seed).cast("binary"))).limit(n)
 
 
 def group_mean(df: DataFrame, key: str, val: str, groups: int | None = None) -> DataFrame:
@@ -464,8 +464,8 @@ def recommend_charts(df: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
 
 def recommendation_rows(df: DataFrame) -> DataFrame:
     """The suggested charts' data in long form: rows ``(chart_id, title,
-    label, value)`` for the histogram, top-categories and group-mean charts
-    (the scatter chart's data is its 200-row sample, kept apart)."""
+    label, value)`` of the histogram, the top categories, the scatter sample
+    (label x, value y) and the group means."""
     recs, data = recommend_charts(df)
     parts = []
     if "rec_dist" in data:
@@ -474,6 +474,10 @@ def recommendation_rows(df: DataFrame) -> DataFrame:
     if "rec_cat" in data:
         parts.append(data["rec_cat"].select(F.lit("rec_cat").alias("chart_id"), F.col("name").alias("label"),
                                             F.col("count").cast("double").alias("value")))
+    if "rec_corr" in data:
+        x, y = data["rec_corr"].columns
+        parts.append(data["rec_corr"].select(F.lit("rec_corr").alias("chart_id"), col(x).cast("string").alias("label"),
+                                             col(y).cast("double").alias("value")))
     if "rec_comp" in data:
         parts.append(data["rec_comp"].select(F.lit("rec_comp").alias("chart_id"), F.col("name").alias("label"),
                                              F.col("value").cast("double").alias("value")))

@@ -69,7 +69,7 @@ def test_label_encode_text_order_and_nan(frame):
 
 
 def test_label_encode_large_dictionary(spark, monkeypatch):
-    monkeypatch.setattr(cleaning, "MAP_LITERAL_MAX", 10)
+    monkeypatch.setattr(cleaning, "DRIVER_DICTIONARY_MAX", 10)
     df = spark.range(0, 500).selectExpr("CAST(id * 7 % 500 AS STRING) AS v", "id").repartition(5)
     out = cleaning.label_encode(df, ["v"])
     got = {r["id"]: r["v"] for r in out.collect()}

@@ -29,7 +29,7 @@ def test_grouped_median_hot_key(skewed):
 
 
 def test_label_join_hot_value(skewed, monkeypatch):
-    monkeypatch.setattr(cleaning, "MAP_LITERAL_MAX", 20)
+    monkeypatch.setattr(cleaning, "DRIVER_DICTIONARY_MAX", 20)
     monkeypatch.setattr(cleaning, "BROADCAST_MAX_ROWS", 0)  # force the shuffle join
     out = cleaning.label_encode(skewed, ["k"])
     assert out.count() == 3000
