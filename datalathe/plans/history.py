@@ -4,7 +4,9 @@ step history with undo/redo.
 Everything lives under one shared ``root`` folder (HDFS, S3, ABFS or a
 local path in tests). Metadata tables are append-only Parquet folders;
 readers take the newest record per key, so no transaction layer is needed
-with one writer. Snapshots double as lineage cuts: after a step is
+with one writer. Appends leave one small file each; :meth:`Workspace.compact`
+writes a table's rows as the next version and drops the one before, so that
+one version is live at any time. Snapshots double as lineage cuts: after a step is
 snapshotted, the step history continues from the Parquet read back, so a
 long chain of steps never grows one huge plan.
 """
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException, ParseException
 
-from datalathe.functions.types import schema_fingerprint
+from datalathe.functions.fingerprint import SEEDS, comparable, null_masks
+from datalathe.functions.types import col, require_columns, schema_fingerprint
 from datalathe.operators import cleaning, masking
 
 SCHEMAS = {
@@ -60,15 +63,52 @@ def newest(df: DataFrame, key: str) -> DataFrame:
 
 
 class Workspace:
-    """Snapshots and metadata tables under one shared folder."""
+    """Snapshots and metadata tables under one shared folder.
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``compact_after``: an append to a metadata table that finds more files than this compacts it (None: never by itself).
+    """
+
+    def __init__(self, spark: SparkSession, root: str, compact_after: int | None = 500):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.compact_after = compact_after
 
     # ---------------------------------------------------------------- tables
-    def _path(self, table: str) -> str:
-        return f"{self.root}/meta/{table}"
+    def _files(self, folder: str) -> list[tuple[str, bool]]:
+        """``(name, is folder)`` of what lies in a folder, by the session's own file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _version(self, table: str) -> int:
+        """The live version of a table: the last one whose rewrite was finished; 0 before any compaction."""
+        folder = f"{self.root}/meta-versions/{table}"
+        found = [int(name) for name, is_folder in self._files(folder) if is_folder and name.isdigit()]
+        return max((v for v in found if ("_SUCCESS", False) in self._files(f"{folder}/{v}")), default=0)
+
+    def _path(self, table: str, version: int | None = None) -> str:
+        version = self._version(table) if version is None else version
+        return f"{self.root}/meta-versions/{table}/{version}" if version else f"{self.root}/meta/{table}"
+
+    def file_count(self, table: str) -> int:
+        """Data files of a table's live version."""
+        return sum(not is_folder and not name.startswith(("_", ".")) for name, is_folder in self._files(self._path(table)))
+
+    def compact(self, table: str) -> int:
+        """Rewrite a metadata table as one file and return its new version. The rewrite lies beside the live version and
+        takes its place with the marker that Spark writes last; a rewrite cut short is never read. The version before
+        stays until the next compaction, for readers that have begun with it."""
+        old = self._version(table)
+        leftovers = [int(n) for n, is_folder in self._files(f"{self.root}/meta-versions/{table}") if is_folder and n.isdigit()]
+        new = max([old, *leftovers]) + 1
+        self.table(table).coalesce(1).write.parquet(self._path(table, new))
+        for v in {0, *leftovers} - {old, new}:
+            self._delete(self._path(table, v) if v else f"{self.root}/meta/{table}")
+        return new
 
     def table(self, name: str) -> DataFrame:
         try:
@@ -79,7 +119,12 @@ class Workspace:
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def _append(self, name: str, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1).write.mode("append").parquet(self._path(name))
+        self._write(name, self.spark.createDataFrame(rows, SCHEMAS[name]))
+
+    def _write(self, name: str, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("append").parquet(self._path(name))
+        if self.compact_after is not None and self.file_count(name) > self.compact_after:
+            self.compact(name)
 
     # -------------------------------------------------------------- datasets
     def register_dataset(self, name: str, source_type: str, dataset_id: str | None = None) -> str:
@@ -88,7 +133,7 @@ class Workspace:
         new = self.spark.createDataFrame([(did, name, source_type, _now(), _seq())], SCHEMAS["datasets"])
         fresh = new.join(self.table("datasets").select("dataset_id"), "dataset_id", "left_anti")
         if not fresh.isEmpty():
-            fresh.coalesce(1).write.mode("append").parquet(self._path("datasets"))
+            self._write("datasets", fresh)
         return did
 
     def datasets(self) -> DataFrame:
@@ -126,9 +171,11 @@ class Workspace:
         runs = runs.orderBy(F.col("seq").desc())
         return runs.limit(limit) if limit else runs
 
-    def list_snapshots(self, dataset_id: str, limit: int = SNAPSHOT_LIST_LIMIT) -> DataFrame:
-        return (self.run_history(dataset_id, limit=None).filter(F.col("snapshot_path").isNotNull())
-                .select("row_count", "col_count", "ts", "snapshot_path", "seq").limit(limit))
+    def list_snapshots(self, dataset_id: str, limit: int | None = SNAPSHOT_LIST_LIMIT) -> DataFrame:
+        """The newest snapshots first; ``limit=None`` lists all of them."""
+        runs = (self.run_history(dataset_id, limit=None).filter(F.col("snapshot_path").isNotNull())
+                .select("row_count", "col_count", "ts", "snapshot_path", "seq"))
+        return runs if limit is None else runs.limit(limit)
 
     def snapshot(self, df: DataFrame, dataset_id: str) -> tuple[DataFrame, str, str]:
         """Write a snapshot, log its run, and return the frame read back
@@ -149,6 +196,11 @@ class Workspace:
         from the Parquet footers)."""
         return diff_frames(self.read_snapshot(path_a), self.read_snapshot(path_b), values=values)
 
+    def diff_rows(self, path_a: str, path_b: str, keys, *, columns: bool = False) -> DataFrame:
+        """Rows added, removed and changed between two stored snapshots, told apart by ``keys``."""
+        diff = diff_columns if columns else diff_keyed
+        return diff(self.read_snapshot(path_a), self.read_snapshot(path_b), keys)
+
     def check_health(self, df: DataFrame, dataset_id: str, as_of: dt.datetime,
                      current_run: str | None = None) -> DataFrame:
         """Volume, drift and freshness of ``df`` against this dataset's newest
@@ -234,6 +286,57 @@ def diff_frames(df_a: DataFrame, df_b: DataFrame, *, values: bool = False) -> Da
     return df_a.sparkSession.createDataFrame([tuple(rec)], schema)
 
 
+def _both_sides(df_a: DataFrame, df_b: DataFrame, keys, groups: dict[str, list[str]]) -> DataFrame:
+    """One row per key of either side: rows ``n0``, ``n1`` and the sums of fingerprints of each group of columns. Sums
+    make repeated keys compare as bags of rows, and let both sides collapse before the one shuffle, which moves keys and
+    fingerprints only."""
+    keys = list(keys)
+    parts = []
+    for side, df in enumerate((df_a, df_b)):
+        prints = []
+        for g, columns in enumerate(groups.values()):
+            seeds = [F.xxhash64(F.lit(seed), *null_masks(df, columns), *[comparable(df, c) for c in columns]) for seed in SEEDS]
+            prints += [h.cast("decimal(38,0)").alias(f"h{g}_{i}") for i, h in enumerate(seeds)]
+        parts.append(df.select(*[col(k) for k in keys], *prints, *[F.lit(int(s == side)).cast("bigint").alias(f"n{s}") for s in (0, 1)]))
+    both = parts[0].unionByName(parts[1])
+    sums = [F.sum(F.col(f"h{g}_{i}") * F.col(f"n{s}")).alias(f"s{s}_{g}_{i}") for g in range(len(groups)) for i in range(len(SEEDS)) for s in (0, 1)]
+    return both.groupBy(*[col(k) for k in keys]).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *sums)
+
+
+def _differs(g: int):
+    out = F.lit(False)
+    for i in range(len(SEEDS)):
+        out = out | (F.col(f"s0_{g}_{i}") != F.col(f"s1_{g}_{i}"))
+    return out
+
+
+def diff_keyed(df_a: DataFrame, df_b: DataFrame, keys) -> DataFrame:
+    """One row ``(added, removed, changed, unchanged, repeated_keys)``: keys of ``b`` only, of ``a`` only, of both with
+    other values in the shared columns or another number of rows, and the rest; keys that occur twice on a side are also
+    counted as repeated. Null is a key like others. Rows are compared by 128-bit fingerprints."""
+    require_columns(df_a, keys)
+    require_columns(df_b, keys)
+    shared = [c for c in df_a.columns if c in df_b.columns and c not in keys]
+    both = _both_sides(df_a, df_b, keys, {"row": shared})
+    n0, n1 = F.col("n0"), F.col("n1")
+    same = ~_differs(0) & (n0 == n1)
+    held = (n0 > 0) & (n1 > 0)
+    return both.agg(F.count_if(n0 == 0).alias("added"), F.count_if(n1 == 0).alias("removed"), F.count_if(held & ~same).alias("changed"),
+                    F.count_if(held & same).alias("unchanged"), F.count_if(F.greatest(n0, n1) > 1).alias("repeated_keys"))
+
+
+def diff_columns(df_a: DataFrame, df_b: DataFrame, keys) -> DataFrame:
+    """Rows ``(column_name, changed)``: of the keys on both sides, how many hold other values in each shared column."""
+    require_columns(df_a, keys)
+    require_columns(df_b, keys)
+    shared = [c for c in df_a.columns if c in df_b.columns and c not in keys]
+    if not shared:
+        return df_a.sparkSession.createDataFrame([], "column_name string, changed long")
+    both = _both_sides(df_a, df_b, keys, {c: [c] for c in shared}).where("n0 > 0 and n1 > 0")
+    counts = both.agg(*[F.count_if(_differs(g) | (F.col("n0") != F.col("n1"))).alias(f"c{g}") for g in range(len(shared))])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{g}").alias("changed")) for g, c in enumerate(shared)])))
+
+
 class StepHistory:
     """The working table, its steps and undo/redo.
 
