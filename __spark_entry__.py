@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datalathe.operators import cleaning, health, kpi, masking, models, phrase, profile, query, widgets
-from datalathe.plans.history import StepHistory, Workspace, apply_expression, diff_frames
+from datalathe.plans.history import StepHistory, Workspace, diff_frames
 from datalathe.session import ensure_checkpoint_dir
 from datalathe.sources import files
 
@@ -241,7 +241,7 @@ def q_recommend_charts(spark, sf):
 
 
 def q_sample_rows(spark, sf):
-    return _r(profile.sample_rows(_t(spark, sf, "lineitem"), 200, columns=["l_quantity", "l_extendedprice"]))
+    return profile.sample_rows(_t(spark, sf, "lineitem"), 200)
 
 
 def q_widget_avg(spark, sf):
@@ -283,6 +283,65 @@ def q_health(spark, sf):
     return health.check_health(_t(spark, sf, "events"), runs, AS_OF)
 
 
+def q_health_history(spark, sf):
+    """Health of each stored version of a growing table against the runs logged before it."""
+    ws = Workspace(spark, _scratch(spark, "workspace"))
+    did = ws.register_dataset("events", "parquet")
+    events = _t(spark, sf, "events")
+    versions = [events.where(F.col("event_id") % 10 < k) for k in (5, 5, 6, 10)]
+    versions.append(versions[-1].drop("props"))
+    out = None
+    for i, version in enumerate(versions):
+        stored, _, run = ws.snapshot(version, did)
+        row = ws.check_health(stored, did, AS_OF, current_run=run).select(F.lit(i).alias("version"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q_contract_stored(spark, sf):
+    """The contract comes back from the workspace's registry; a newer one replaces an older."""
+    ws = Workspace(spark, _scratch(spark, "workspace"))
+    did = ws.register_dataset("orders", "parquet")
+    ws.save_contract(did, {"columns": {"o_orderkey": {"type": "string"}}})
+    ws.save_contract(did, CONTRACT)
+    ws.compact("contracts")
+    return health.contract_check(_t(spark, sf, "orders"), ws.get_contract(did))
+
+
+def _orders_changed(spark, sf):
+    o = _t(spark, sf, "orders")
+    return (o.where("o_orderkey % 11 != 0")
+            .withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+            .withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 13 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")))
+            .unionByName(o.where("o_orderkey % 5 = 0").withColumn("o_orderkey", -F.col("o_orderkey"))))
+
+
+def _two_snapshots(spark, sf):
+    ws = Workspace(spark, _scratch(spark, "workspace"))
+    did = ws.register_dataset("orders", "parquet")
+    return ws, did, ws.snapshot(_t(spark, sf, "orders"), did)[1], ws.snapshot(_orders_changed(spark, sf), did)[1]
+
+
+def q_snapshot_rows_diff(spark, sf):
+    ws, _, before, after = _two_snapshots(spark, sf)
+    return ws.diff_rows(before, after, ["o_orderkey"])
+
+
+def q_snapshot_columns_diff(spark, sf):
+    ws, _, before, after = _two_snapshots(spark, sf)
+    return ws.diff_rows(before, after, ["o_orderkey"], columns=True)
+
+
+def q_snapshot_revert(spark, sf):
+    """A revert is a new version with the old version's rows."""
+    ws, did, before, _ = _two_snapshots(spark, sf)
+    back, path = ws.revert(before, did)
+    listed = ws.list_snapshots(did, limit=None).orderBy("seq")
+    same = ws.diff_rows(before, path, ["o_orderkey"]).select(F.col("unchanged").alias("unchanged_rows"), F.col("changed").alias("changed_rows"))
+    versions = listed.agg(F.sort_array(F.collect_list(F.struct("seq", "row_count"))).alias("v")).select(F.col("v.row_count").alias("row_counts"))
+    return versions.join(F.broadcast(same)).withColumn("price", F.lit(back.agg(F.round(F.sum("o_totalprice"), 2)).first()[0]))
+
+
 def q_drivers(spark, sf):
     li = _t(spark, sf, "lineitem")
     return _r(models.key_drivers(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag",
@@ -306,12 +365,45 @@ def q_train_classification(spark, sf):
     return _r(res["comparison"])
 
 
+def q_train_test_split(spark, sf):
+    """Many equal rows: every combination lands on both sides."""
+    train, test = models.hash_split(_t(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+    both = train.select("*", F.lit("train").alias("part")).unionByName(test.select("*", F.lit("test").alias("part")))
+    return both.groupBy("o_orderstatus", "o_orderpriority", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_ols(spark, sf):
+    return _r(models.ols_report(_t(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"]))
+
+
+def q_ols_two(spark, sf):
+    return _r(models.ols_report(_t(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]))
+
+
+def q_feature_strength(spark, sf):
+    return _r(models.feature_strength(_t(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_partkey"]), 6)
+
+
+def _rated(spark, sf):
+    """Labelled documents with a plain rule's guess of their quality."""
+    docs = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id")
+    return docs.select("quality", ((F.col("n_chars") >= 400) & (F.instr("text", "#") == 0)).cast("int").alias("guess"))
+
+
+def q_confusion(spark, sf):
+    return models.confusion(_rated(spark, sf), "quality", "guess")
+
+
+def q_class_report(spark, sf):
+    return _r(models.class_report(_rated(spark, sf), "quality", "guess"), 6)
+
+
 def q_kmeans(spark, sf):
     return models.kmeans(_t(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], k=3)["sizes"]
 
 
 def q_suggest_config(spark, sf):
-    return models.suggest_model_frame(_t(spark, sf, "orders"), "Predict order total price")
+    return models.suggest_model_frame(_t(spark, sf, "orders"), "Predict o_custkey")
 
 
 def _scratch(spark, kind: str) -> str:
@@ -327,14 +419,29 @@ def q_snapshot_diff(spark, sf):
 
 
 def q_feature_apply(spark, sf):
-    o = apply_expression(_t(spark, sf, "orders"), "net_price", "o_totalprice * (1 - 0.1)")
-    return _r(o.select("o_orderkey", "net_price"))
+    ws = Workspace(spark, _scratch(spark, "workspace"))
+    ws.register_feature("net_price", "price without tax", "1", "o_totalprice * (1 - 0.2)")
+    ws.register_feature("net_price", "price without tax", "2", "o_totalprice * (1 - 0.1)")
+    return _r(ws.apply_feature(_t(spark, sf, "orders"), "net_price").select("o_orderkey", "net_price"))
+
+
+def q_feature_versions(spark, sf):
+    """Every stored version of every feature, applied to the table."""
+    ws = Workspace(spark, _scratch(spark, "workspace"))
+    ws.register_feature("net_price", "price without tax", "1", "o_totalprice * (1 - 0.2)")
+    ws.register_feature("net_price", "price without tax", "2", "o_totalprice * (1 - 0.1)")
+    ws.register_feature("order_year", "year of the order", "1", "year(o_orderdate)")
+    orders, out = _t(spark, sf, "orders"), None
+    for f in ws.list_features().collect():  # the registry's rows, a few
+        total = ws.apply_feature(orders, f["name"], f["version"]).agg(F.round(F.sum(F.col(f["name"]).cast("double")), 2).alias("total"))
+        row = total.select(F.lit(f["name"]).alias("name"), F.lit(f["version"]).alias("version"), F.lit(f["logic"]).alias("logic"), "total")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def q_csv_roundtrip(spark, sf):
-    src = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    path = files.write_csv(src, _scratch(spark, "csv"))
-    return _r(files.load_csv(spark, path))
+    path = files.write_csv(_t(spark, sf, "orders"), _scratch(spark, "csv"))
+    return _r(files.load_csv(spark, path)).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
 def q_csv_documents(spark, sf):
@@ -343,6 +450,31 @@ def q_csv_documents(spark, sf):
     return files.load_csv(spark, path)
 
 
+def q_csv_split(spark, sf):
+    """The same through the reader that gives each split of a file to a task of its own."""
+    path = files.write_csv(_t(spark, sf, "documents"), _scratch(spark, "csv"))
+    return files.load_csv(spark, path, split=True)
+
+
+def q_csv_latin1(spark, sf):
+    """Repeated header names and the fallback encoding."""
+    path = _scratch(spark, "csv")
+    docs = _t(spark, sf, "documents").select("doc_id", "lang", "text", F.col("source").alias("Lang"), "n_chars")
+    shape = docs.toDF("doc_id", "lang", "text", "x", "n_chars")
+    header = spark.createDataFrame([("doc_id", "lang", "text", "lang", "n_chars")], "doc_id string, lang string, text string, x string, n_chars string")
+    rows = shape.select(*[F.col(c).cast("string").alias(c) for c in shape.columns])
+    (header.unionByName(rows).coalesce(1).write.option("sep", ";").option("encoding", "ISO-8859-1").option("quoteAll", True)
+     .option("quote", '"').option("escape", '"').csv(path))
+    return files.load_csv(spark, path, sep=";")
+
+
+def q_csv_semicolons(spark, sf):
+    """The delimiter is found."""
+    path = _scratch(spark, "csv")
+    _t(spark, sf, "customer").write.option("sep", ";").option("header", True).csv(path)
+    return _r(files.load_csv(spark, path))
+
+
 def q_json_roundtrip(spark, sf):
     path = _scratch(spark, "json")
     _t(spark, sf, "customer").write.json(path)
@@ -421,11 +553,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_regression": q_train_regression,
     "train_classification": q_train_classification,
     "kmeans": q_kmeans,
+    "train_test_split": q_train_test_split,
+    "ols": q_ols,
+    "ols_two": q_ols_two,
+    "feature_strength": q_feature_strength,
+    "confusion": q_confusion,
+    "class_report": q_class_report,
     "suggest_config": q_suggest_config,
     "snapshot_diff": q_snapshot_diff,
+    "snapshot_rows_diff": q_snapshot_rows_diff,
+    "snapshot_columns_diff": q_snapshot_columns_diff,
+    "snapshot_revert": q_snapshot_revert,
+    "health_history": q_health_history,
+    "contract_stored": q_contract_stored,
     "feature_apply": q_feature_apply,
+    "feature_versions": q_feature_versions,
     "csv_roundtrip": q_csv_roundtrip,
     "csv_documents": q_csv_documents,
+    "csv_split": q_csv_split,
+    "csv_latin1": q_csv_latin1,
+    "csv_semicolons": q_csv_semicolons,
     "json_roundtrip": q_json_roundtrip,
     "step_history": q_step_history,
 }
@@ -443,6 +590,7 @@ def _docs_labels_sql() -> str:
 
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                 "l_discount", "l_tax"]
+LINEITEM_ALL = [*LINEITEM_NUM, "l_returnflag", "l_linestatus", "l_shipdate"]
 EVENTS_NUM = ["event_id", "user_id", "value"]
 
 
@@ -636,7 +784,79 @@ def _charts_sql() -> str:
     UNION ALL
     SELECT 'rec_comp', 'Average o_orderkey by o_orderstatus', name, round(value, 4) FROM (
       SELECT CAST(o_orderstatus AS VARCHAR) AS name, avg(CAST(o_orderkey AS DOUBLE)) AS value FROM orders
-      WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 10)"""
+      WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 10)
+    UNION ALL
+    SELECT 'rec_corr', 'o_orderkey vs o_custkey', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS DOUBLE) FROM (
+      SELECT o_orderkey, o_custkey FROM orders ORDER BY {_row_md5(['o_orderkey', 'o_custkey'])} LIMIT 200)"""
+
+
+def _row_md5(columns: list[str], seed: int = 42, extra: str = "") -> str:
+    """The MD5 of a row's text, as ``row_text`` writes it."""
+    return "md5('" + str(seed) + "'" + "".join(f" || '|' || coalesce(CAST({c} AS VARCHAR), '\\N')" for c in columns) + extra + ")"
+
+
+def _changed_sql() -> str:
+    return """(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+                      CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+               FROM orders WHERE o_orderkey % 11 <> 0
+               UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 5 = 0)"""
+
+
+def _health_history_sql() -> str:
+    """Each version against the ones before it; its own run is left out."""
+    sizes = " UNION ALL ".join(
+        f"SELECT {i} AS v, count(*) AS n, {int(i == 4)} AS other, CAST(floor((epoch(TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') - epoch(max(ts))) / 86400) AS INTEGER) AS days "
+        f"FROM events WHERE event_id % 10 < {k}" for i, k in enumerate((5, 5, 6, 10, 10)))
+    return f"""
+    WITH s AS ({sizes}),
+    p AS (SELECT a.v, a.n, a.days, count(b.v) AS runs, count(b.v) FILTER (WHERE b.n <> a.n) AS k, avg(b.n) FILTER (WHERE b.n <> a.n) AS m,
+                 stddev_pop(b.n) FILTER (WHERE b.n <> a.n) AS d, max(a.other) AS other FROM s a LEFT JOIN s b ON b.v < a.v GROUP BY a.v, a.n, a.days)
+    SELECT CAST(v AS INTEGER) AS version, CASE WHEN runs <= 1 OR k = 0 THEN 'stable' WHEN d > 0 AND abs(n - m) > 3 * d THEN 'anomaly'
+                WHEN d = 0 AND n <> m THEN 'changed' ELSE 'stable' END AS volume_status, n AS current_rows,
+           CASE WHEN other = 1 THEN 'drift_detected' ELSE 'stable' END AS schema_status,
+           CASE WHEN days < 1 THEN 'fresh' WHEN days < 7 THEN 'ok' ELSE 'stale' END AS freshness, days AS days_since_last_entry FROM p"""
+
+
+def _rated_sql() -> str:
+    return "(SELECT quality, CAST(n_chars >= 400 AND instr(text, '#') = 0 AS INTEGER) AS guess FROM documents JOIN labels USING (doc_id))"
+
+
+def _ols_sql() -> str:
+    x, y = "CAST(l_quantity AS DOUBLE)", "CAST(l_extendedprice AS DOUBLE)"
+    parts = {"intercept": f"regr_intercept({y}, {x})", "l_quantity": f"regr_slope({y}, {x})", "r2": f"regr_r2({y}, {x})",
+             "rmse": f"sqrt((1 - regr_r2({y}, {x})) * var_pop({y}))", "n": "CAST(count(*) AS DOUBLE)"}
+    return " UNION ALL ".join(f"SELECT '{t}' AS term, round({e}, 4) AS value FROM lineitem" for t, e in parts.items())
+
+
+def _ols_two_sql() -> str:
+    return """
+    WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb,
+                      covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS bby,
+                      var_pop(l_extendedprice) AS yy FROM lineitem),
+    f AS (SELECT *, (ay * bb - bby * ab) / (aa * bb - ab * ab) AS p, (bby * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM s),
+    g AS (SELECT *, yy - p * ay - q * bby AS rest FROM f)
+    SELECT 'intercept' AS term, round(my - p * ma - q * mb, 4) AS value FROM g UNION ALL SELECT 'l_quantity', round(p, 4) FROM g
+    UNION ALL SELECT 'l_discount', round(q, 4) FROM g UNION ALL SELECT 'r2', round(1 - rest / yy, 4) FROM g
+    UNION ALL SELECT 'rmse', round(sqrt(rest), 4) FROM g UNION ALL SELECT 'n', CAST(n AS DOUBLE) FROM g"""
+
+
+def _contract_sql() -> str:
+    return """
+            SELECT 'o_orderkey' AS column_name, 'type' AS rule, true AS passed, CAST(NULL AS VARCHAR) AS message
+            UNION ALL SELECT 'o_orderkey', 'unique', count(*) = count(DISTINCT o_orderkey) + least(1, count(*) FILTER (WHERE o_orderkey IS NULL)),
+                   CASE WHEN count(*) = count(DISTINCT o_orderkey) + least(1, count(*) FILTER (WHERE o_orderkey IS NULL)) THEN NULL
+                        ELSE 'Column o_orderkey contains duplicates' END FROM orders
+            UNION ALL SELECT 'o_orderkey', 'nullable', count(*) FILTER (WHERE o_orderkey IS NULL) = 0,
+                   CASE WHEN count(*) FILTER (WHERE o_orderkey IS NULL) = 0 THEN NULL ELSE 'Column o_orderkey contains nulls' END FROM orders
+            UNION ALL SELECT 'o_custkey', 'type', true, NULL
+            UNION ALL SELECT 'o_custkey', 'unique', count(*) = count(DISTINCT o_custkey) + least(1, count(*) FILTER (WHERE o_custkey IS NULL)),
+                   CASE WHEN count(*) = count(DISTINCT o_custkey) + least(1, count(*) FILTER (WHERE o_custkey IS NULL)) THEN NULL
+                        ELSE 'Column o_custkey contains duplicates' END FROM orders
+            UNION ALL SELECT 'o_orderstatus', 'type', true, NULL
+            UNION ALL SELECT 'o_orderstatus', 'nullable', count(*) FILTER (WHERE o_orderstatus IS NULL) = 0,
+                   CASE WHEN count(*) FILTER (WHERE o_orderstatus IS NULL) = 0 THEN NULL ELSE 'Column o_orderstatus contains nulls' END FROM orders
+            UNION ALL SELECT 'o_totalprice', 'type', false, 'Column o_totalprice expected int, got double'
+            UNION ALL SELECT 'o_comment', 'exists', false, 'Missing column: o_comment'"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -783,22 +1003,8 @@ def _own_sql() -> dict[str, str]:
                    + count(*) FILTER (WHERE n_chars IS NULL)) * 100.0 / (count(*) * 7), 4) AS complete_pct
             FROM {dl}""",
         "pii_scan": _pii_sql(),
-        "contract_check": """
-            SELECT 'o_orderkey' AS column_name, 'type' AS rule, true AS passed, CAST(NULL AS VARCHAR) AS message
-            UNION ALL SELECT 'o_orderkey', 'unique', count(*) = count(DISTINCT o_orderkey) + least(1, count(*) FILTER (WHERE o_orderkey IS NULL)),
-                   CASE WHEN count(*) = count(DISTINCT o_orderkey) + least(1, count(*) FILTER (WHERE o_orderkey IS NULL)) THEN NULL
-                        ELSE 'Column o_orderkey contains duplicates' END FROM orders
-            UNION ALL SELECT 'o_orderkey', 'nullable', count(*) FILTER (WHERE o_orderkey IS NULL) = 0,
-                   CASE WHEN count(*) FILTER (WHERE o_orderkey IS NULL) = 0 THEN NULL ELSE 'Column o_orderkey contains nulls' END FROM orders
-            UNION ALL SELECT 'o_custkey', 'type', true, NULL
-            UNION ALL SELECT 'o_custkey', 'unique', count(*) = count(DISTINCT o_custkey) + least(1, count(*) FILTER (WHERE o_custkey IS NULL)),
-                   CASE WHEN count(*) = count(DISTINCT o_custkey) + least(1, count(*) FILTER (WHERE o_custkey IS NULL)) THEN NULL
-                        ELSE 'Column o_custkey contains duplicates' END FROM orders
-            UNION ALL SELECT 'o_orderstatus', 'type', true, NULL
-            UNION ALL SELECT 'o_orderstatus', 'nullable', count(*) FILTER (WHERE o_orderstatus IS NULL) = 0,
-                   CASE WHEN count(*) FILTER (WHERE o_orderstatus IS NULL) = 0 THEN NULL ELSE 'Column o_orderstatus contains nulls' END FROM orders
-            UNION ALL SELECT 'o_totalprice', 'type', false, 'Column o_totalprice expected int, got double'
-            UNION ALL SELECT 'o_comment', 'exists', false, 'Missing column: o_comment'""",
+        "contract_check": _contract_sql(),
+        "contract_stored": _contract_sql(),
         "freshness": f"""
             SELECT 'ts' AS column_name, max(ts) AS last_value,
                    CAST(floor((epoch(TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') - epoch(max(ts))) / 86400) AS INTEGER) AS days_since_last_entry,
@@ -807,6 +1013,50 @@ def _own_sql() -> dict[str, str]:
                         ELSE 'stale' END AS freshness
             FROM events""",
         "health": _health_sql(),
+        "health_history": _health_history_sql(),
+        "sample_rows": f"SELECT * FROM lineitem ORDER BY {_row_md5(LINEITEM_ALL)} LIMIT 200",
+        "train_test_split": f"""
+            WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority) - 1 AS k FROM orders)
+            SELECT o_orderstatus, o_orderpriority, CASE WHEN ('0x' || substr({_row_md5(['o_orderstatus', 'o_orderpriority'], extra=" || '|' || k")}, 1, 8))::BIGINT % 10000 < 2000
+                   THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM k GROUP BY ALL""",
+        "ols": _ols_sql(),
+        "ols_two": _ols_two_sql(),
+        "feature_strength": " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, round(regr_r2(CAST(l_extendedprice AS DOUBLE), CAST({c} AS DOUBLE)), 6) AS r2, "
+            f"round(regr_slope(CAST(l_extendedprice AS DOUBLE), CAST({c} AS DOUBLE)), 6) AS slope FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax", "l_partkey")),
+        "confusion": f"SELECT quality AS actual, guess AS predicted, count(*) AS n FROM {_rated_sql()} WHERE quality IS NOT NULL GROUP BY ALL",
+        "class_report": f"""
+            WITH r AS (SELECT * FROM {_rated_sql()} WHERE quality IS NOT NULL AND guess IS NOT NULL),
+            l AS (SELECT quality AS label FROM r UNION SELECT guess FROM r),
+            c AS (SELECT label, count(*) FILTER (WHERE quality = label) AS support, count(*) FILTER (WHERE guess = label) AS chosen,
+                         count(*) FILTER (WHERE quality = label AND guess = label) AS hit FROM l, r GROUP BY label)
+            SELECT label, support, round(CASE WHEN chosen > 0 THEN hit / chosen ELSE 0.0 END, 6) AS precision,
+                   round(CASE WHEN support > 0 THEN hit / support ELSE 0.0 END, 6) AS recall, round(2 * hit / (chosen + support), 6) AS f1 FROM c""",
+        "suggest_config": """
+            SELECT 'o_custkey' AS target_column, problem AS problem_type, 'rf' AS algorithm,
+                   ['o_orderkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'] AS feature_columns,
+                   'Goal: ''Predict o_custkey''. Column ''o_custkey'' holds ' || CASE problem WHEN 'regression' THEN 'continuous' ELSE 'categorical' END
+                   || ' values, which asks for a ' || problem || ' model.' AS explanation
+            FROM (SELECT CASE WHEN count(DISTINCT o_custkey) < 20 THEN 'classification' ELSE 'regression' END AS problem FROM orders)""",
+        "snapshot_rows_diff": f"""
+            SELECT count(*) FILTER (WHERE a.o_orderkey IS NULL) AS added, count(*) FILTER (WHERE b.o_orderkey IS NULL) AS removed,
+                   count(*) FILTER (WHERE a.o_orderkey = b.o_orderkey AND (a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice <> b.o_totalprice)) AS changed,
+                   count(*) FILTER (WHERE a.o_orderkey = b.o_orderkey AND a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus AND a.o_totalprice = b.o_totalprice) AS unchanged,
+                   0::BIGINT AS repeated_keys FROM orders a FULL JOIN {_changed_sql()} b ON a.o_orderkey = b.o_orderkey""",
+        "snapshot_columns_diff": " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE a.{c} IS DISTINCT FROM b.{c}) AS changed FROM orders a JOIN {_changed_sql()} b ON a.o_orderkey = b.o_orderkey"
+            for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")),
+        "snapshot_revert": f"""
+            SELECT [(SELECT count(*) FROM orders), (SELECT count(*) FROM {_changed_sql()}), (SELECT count(*) FROM orders)] AS row_counts,
+                   count(*) AS unchanged_rows, 0::BIGINT AS changed_rows, round(sum(o_totalprice), 2) AS price FROM orders""",
+        "feature_versions": """
+            SELECT 'net_price' AS name, '1' AS version, 'o_totalprice * (1 - 0.2)' AS logic, round(sum(o_totalprice * (1 - 0.2)), 2) AS total FROM orders
+            UNION ALL SELECT 'net_price', '2', 'o_totalprice * (1 - 0.1)', round(sum(o_totalprice * (1 - 0.1)), 2) FROM orders
+            UNION ALL SELECT 'order_year', '1', 'year(o_orderdate)', CAST(sum(year(o_orderdate)) AS DOUBLE) FROM orders""",
+        "csv_split": ("SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang, source, CAST(n_chars AS INTEGER) AS n_chars "
+                      "FROM documents"),
+        "csv_semicolons": ("SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer"),
+        "csv_latin1": "SELECT CAST(doc_id AS INTEGER) AS doc_id, lang AS lang1, text, source AS lang3, CAST(n_chars AS INTEGER) AS n_chars FROM documents",
         "insights": _insights_sql(),
         "recommend_charts": _charts_sql(),
         "snapshot_diff": """
@@ -817,7 +1067,7 @@ def _own_sql() -> dict[str, str]:
         "feature_apply": "SELECT o_orderkey, round(o_totalprice * (1 - 0.1), 4) AS net_price FROM orders",
         "csv_roundtrip": """
             SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
-                   round(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders""",
+                   round(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority FROM orders""",
         "csv_documents": ("SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang, source, CAST(n_chars AS INTEGER) AS n_chars "
                           "FROM documents"),
         "json_roundtrip": ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
