@@ -1,13 +1,14 @@
 """Near-duplicate groups: MinHash bands give candidates, signatures are compared in batches under a Bayesian bound,
 and what survives is verified on full shingle sets.
 
-Documents with equal shingle sets are one node from the start. A bucket with few members compares them all. Within a
-larger one no pairs of all members are made: it compares its members with pivots, one in the first round and eight times
-as many in each later one. By the triangle inequality of the Jaccard distance a member further than twice the allowed
-distance from a pivot cannot be linked with one that is linked with that pivot; members between the two bounds are
-compared with the pivot's partners of other components, and all that are linked with no pivot form the next round's
-bucket. Rounds go on until no bucket is left, so no link is lost beyond the stated miss probability; a bucket of m
-members in c clusters makes at most 8 * c * m comparisons with pivots."""
+Documents with equal shingle sets are one node from the start. Nodes that share a band with another are gathered by the
+connected components of the bands' buckets, found over stars (each member of a bucket and its smallest), so a bucket of m
+members makes m rows and no pairs. A component of bounded size goes into one task once, with its full sets. There its
+banded pairs are compared, pruned and verified, and only a spanning forest of the links leaves the task.
+
+A larger component is dealt into blocks of that size, twice in different ways; most of it is one group of links by then.
+What is not in its largest group meets every block of the component, so no link is lost; the work that is left grows with
+the rest times the component."""
 
 from __future__ import annotations
 
@@ -24,10 +25,8 @@ from datalathe.llm.text import (LOWER, Texts, arrow_type, forget, mix, span_hash
 
 #: Hashes of a band, and of a step of the sequential comparison.
 BAND_ROWS, STEP = 5, 20
-#: Buckets with at most this many members compare each with each, which ends them.
-FEW = 32
-#: A round has this many times the pivots of the round before.
-MORE_PIVOTS = 8
+#: Nodes and bytes of shingle sets of a block; pairs compared at once; pairs verified one by one.
+BLOCK, BLOCK_SET_BYTES, PAIRS, FEW_PAIRS = 2048, 32 << 20, 200_000, 4096
 #: Chance that a pair at the threshold is missed by the bands, and by the sequential comparison.
 MISS = 1e-6
 
@@ -105,8 +104,113 @@ def components(edges: DataFrame) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of many pairs of sets, by products of 0/1 matrices over the shingles that two sets
+    have in common, a slab of shingles at a time."""
+    used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    held = np.concatenate([sets[i] for i in used.tolist()])
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used.tolist()])
+    _, number, times = np.unique(held, return_inverse=True, return_counts=True)
+    common = times >= 2
+    column = (np.cumsum(common) - 1)[number]
+    owner, column = owner[common[number]], column[common[number]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(used), len(used)), np.float32)  # whole numbers below 2^24, exact
+    width = max(1, (8 << 20) // len(used))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        x, y = np.searchsorted(column, (start, start + width))
+        slab = np.zeros((len(used), width), np.float32)
+        slab[owner[x:y], column[x:y] - start] = 1
+        both += slab @ slab.T
+    half = len(a)
+    return both[place[:half], place[half:]].astype(np.int64)
+
+
+class Solver:
+    """Links within blocks of nodes."""
+
+    def __init__(self, percent: int, miss: float, n_bands: int, factors: np.ndarray, terms: np.ndarray):
+        self.percent, self.n_bands, self.factors, self.terms = percent, n_bands, factors, terms
+        n_hashes = len(factors)
+        self.steps = [*range(STEP, n_hashes, STEP), n_hashes]
+        self.bounds = [least_matches(percent / 100, m, miss) for m in self.steps]
+
+    def survivors(self, signatures: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs those that share a band and that no batch of hashes rules out, with their matches."""
+        bands = band_values(signatures, self.n_bands)
+        kept = []
+        for start in range(0, len(a), PAIRS):
+            x, y = a[start:start + PAIRS], b[start:start + PAIRS]
+            banded = (bands[x] == bands[y]).any(axis=1)
+            x, y = x[banded], y[banded]
+            matches, done = np.zeros(len(x), np.int64), 0
+            for stop, least in zip(self.steps, self.bounds, strict=True):
+                matches += (signatures[x, done:stop] == signatures[y, done:stop]).sum(axis=1)
+                live = matches >= least
+                x, y, matches, done = x[live], y[live], matches[live], stop
+            kept.append((x, y, matches))
+        return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+
+    def forest(self, sets: list[np.ndarray], now: np.ndarray, left: np.ndarray | None) -> list[tuple[int, int]]:
+        """Pairs of nodes that are linked and join what ``now`` keeps apart, as few as needed. With ``left`` (a flag for
+        each node) only pairs with a flagged node count."""
+        m = len(sets)
+        signatures = np.frombuffer(b"".join(signature(s, self.factors, self.terms) for s in sets), "<u4").reshape(m, -1)
+        group = np.unique(now, return_inverse=True)[1]
+        top = group.tolist()
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        parent, out = list(range(max(top) + 1)), []
+        rows = max(1, PAIRS * 8 // m)
+        for start in range(0, m, rows):  # pairs of some rows with all later nodes
+            a = np.repeat(np.arange(start, min(m, start + rows)), m - 1 - np.arange(start, min(m, start + rows)))
+            b = np.concatenate([np.arange(i + 1, m) for i in range(start, min(m, start + rows))])
+            roots = np.array([root(g) for g in range(len(parent))])[group]
+            apart = roots[a] != roots[b]
+            if left is not None:
+                apart &= left[a] | left[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                continue
+            a, b, matches = self.survivors(signatures, a, b)
+            exact = shared_counts(sets, a, b) if len(a) > FEW_PAIRS else None
+            if exact is not None:
+                sizes = np.array([len(s) for s in sets])
+                linked = 100 * exact >= self.percent * (sizes[a] + sizes[b] - exact)
+                a, b, matches = a[linked], b[linked], matches[linked]
+            for k in np.argsort(-matches, kind="stable").tolist():
+                i, j = int(a[k]), int(b[k])
+                x, y = root(top[i]), root(top[j])
+                if x == y:
+                    continue
+                if exact is None:
+                    both = np.concatenate((sets[i], sets[j]))
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared < self.percent * (len(both) - shared):
+                        continue
+                parent[x] = y
+                out.append((i, j))
+        return out
+
+
+def band_values(signatures: np.ndarray, n_bands: int) -> np.ndarray:
+    """A 64-bit value for each band of each signature; it holds the band's number."""
+    values = signatures.reshape(len(signatures), n_bands, BAND_ROWS).astype(np.uint64)
+    hashed = np.zeros(values.shape[:2], np.uint64) + np.arange(n_bands, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        hashed = mix(hashed * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
+    return hashed
+
+
 def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                miss: float = MISS) -> DataFrame:
+                miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """Link documents with 100 * intersection >= percent * union of their sets of ``shingle``-word shingles.
 
     Returns one row for each row: the id column, n_shingles (size of its set), component_id (the smallest id that can
@@ -115,7 +219,8 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     is its own component. Rows with equal sets are linked. A null id is passed over when the smallest is sought; a row
     whose component has only null ids has a null component_id and is kept. Repeated rows are repeated.
 
-    miss: the chance to lose a pair that is just similar enough, of the bands and of each comparison.
+    miss: the chance to lose a pair that is just similar enough, of the bands and of the sequential comparison.
+    block: nodes that are compared in one task.
     """
     threshold = percent / 100
     n_bands = bands_for(threshold, BAND_ROWS, miss)
@@ -123,42 +228,37 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     random = np.random.default_rng(7)
     factors = random.integers(1, 2**63, n_hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     terms = random.integers(0, 2**63, n_hashes, dtype=np.uint64)
+    solver = Solver(percent, miss, n_bands, factors, terms)
     source = two_columns(df, id_col, text_col)
     kind = source.schema["id"].dataType
     id_type = arrow_type(kind)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in text_blocks(batches):
-            n, keys, signatures = [], [], []
+            n, keys, bands = [], [], []
             for s in shingle_sets(texts, shingle):
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-                signatures.append(signature(s, factors, terms) if len(s) else None)
+                bands.append(band_values(np.frombuffer(signature(s, factors, terms), "<u4")[None, :], n_bands).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts.ids, id_type), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["id", "n", "key", "signature"])
+                [pa.array(texts.ids, id_type), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary())],
+                names=["id", "n", "key", "bands"])
 
-    marks = stored(source.mapInArrow(mark, f"id {kind.simpleString()}, n bigint, key binary, signature binary"), "marks")
-    nodes = stored(marks.where("key is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
+    marks = stored(source.mapInArrow(mark, f"id {kind.simpleString()}, n bigint, key binary, bands binary"), "marks")
+    nodes = stored(marks.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, n_bands, BAND_ROWS).astype(np.uint64)
-            hashed = np.zeros(values.shape[:2], np.uint64) + np.arange(n_bands, dtype=np.uint64)
-            for k in range(BAND_ROWS):
-                hashed = mix(hashed * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(values)), n_bands)))],
-                names=["bucket", "key"])
+            buckets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n_bands)))], names=["bucket", "key"])
 
-    entries = nodes.select("key", "signature").mapInArrow(bands, "bucket bigint, key binary")
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = stored(entries.join(shared, "bucket"), "buckets")
-    near = stored(buckets.select("key").distinct(), "near-keys")
+    entries = nodes.select("key", "bands").mapInArrow(entries_of, "bucket bigint, key binary")
+    shared = entries.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
+    stars = entries.join(shared.select("bucket", "low"), "bucket").where("key != low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    gathered = stored(components(stars), "candidates")
 
-    # the full sets of all documents that share a bucket with another
-    holders = nodes.join(near, "key", "left_semi").select("key", F.col("id").alias("holder"))
+    # the full sets of all nodes that share a bucket with another
+    holders = nodes.select("key", F.col("id").alias("holder")).join(gathered.select(F.col("node").alias("key")), "key", "left_semi")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in text_blocks(batches, 1 << 20):
@@ -167,91 +267,69 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
                                              names=["key", "shingles"])
 
     texts_near = source.join(holders.select("holder").distinct(), F.col("id").eqNullSafe(F.col("holder")), "left_semi")
-    sets = stored(texts_near.mapInArrow(full_sets, "key binary, shingles binary").join(near, "key", "left_semi")
-                  .groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    sets = texts_near.mapInArrow(full_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = stored(sets.join(gathered.select(F.col("node").alias("key"), F.col("label").alias("of")), "key"), "shingle-sets")
+    sizes = sets.groupBy("of").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("bytes") / BLOCK_SET_BYTES)).cast("int")
+    large = stored(sizes.select("of", blocks.alias("blocks")).where("blocks > 1"), "large")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (of, block, side, key, now, shingles) in order of of and block, to links (a, b)."""
+        now, waiting = None, []
+
+        def links() -> pa.RecordBatch:
+            rest = {r[3] for r in waiting if r[2] == 0}
+            nodes = list({r[3]: r for r in waiting}.values())
+            left = None if all(r[2] is None for r in waiting) else np.array([r[3] in rest for r in nodes])
+            found = solver.forest([np.frombuffer(r[5], np.uint64) for r in nodes], np.array([r[4] for r in nodes], object), left) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i][3] for i, _ in found], pa.binary()), pa.array([nodes[j][3] for _, j in found], pa.binary())], names=["a", "b"])
 
-    steps = [*range(STEP, n_hashes, STEP), n_hashes]
-    bounds = [[least_matches(t, m, miss) for m in steps] for t in (threshold, max(0.0, 2 * threshold - 1))]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """verdict 2: may be linked, 1: near the pivot, 0: too far for a link with any of the pivot's partners."""
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, n_hashes) for k in (2, 3))
-            verdict, matches, done = np.full(len(a), 2), np.zeros(len(a), np.int64), 0
-            for stop, least, far in zip(steps, *bounds, strict=True):
-                live = np.flatnonzero(verdict > 0)
-                matches[live] += (a[live, done:stop] == b[live, done:stop]).sum(axis=1)
-                verdict[live] = np.minimum(verdict[live], (matches[live] >= least).astype(int) + (matches[live] >= far))
-                done = stop
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdict, pa.int32())], names=["a", "b", "verdict"])
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        return (pairs.join(table.select(F.col("key").alias("a"), F.col(value).alias("of_a")), "a")
-                .join(table.select(F.col("key").alias("b"), F.col(value).alias("of_b")), "b").select("a", "b", "of_a", "of_b"))
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        """(a, b, verdict) with verdict 2 only for links that the full sets confirm."""
-        seen = stored(with_both(pairs, nodes, "signature").mapInArrow(compare, "a binary, b binary, verdict int"), "compared")
-        sure = with_both(seen.where("verdict = 2"), sets, "shingles").mapInArrow(confirm, "a binary, b binary, linked boolean")
-        return stored(seen.join(sure, ["a", "b"], "left").select(
-            "a", "b", F.when(F.col("linked"), 2).otherwise(F.least("verdict", F.lit(1))).alias("verdict")), "judged")
-
-    def known(table: DataFrame) -> DataFrame:
-        """With the component that each key is in as far as the links so far tell."""
-        if labels is None:
-            return table.withColumn("now", F.col("key"))
-        return table.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("now", F.coalesce("label", "key")).drop("label")
-
-    edge = [F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")]
-    links = labels = pending = None
-    n_pivots = 1
-    while True:
-        few = known(buckets.where(F.col("members") <= FEW))
-        pairs = few.select("bucket", "key", "now").join(
-            few.select("bucket", F.col("key").alias("other"), F.col("now").alias("then")), "bucket").where("key < other and now != then").select(*edge)
-        if pending is not None:
-            pairs = pairs.unionByName(pending)
-        many = buckets.where(F.col("members") > FEW).select("bucket", "key")
-        last = many.isEmpty()
-        if not last:
-            slot = F.pmod(F.xxhash64("key", F.lit(n_pivots)), F.lit(n_pivots)).alias("slot")
-            pivots = many.groupBy("bucket", slot).agg(F.min("key").alias("other")).drop("slot")
-            stars = stored(many.join(pivots, "bucket").where("key != other"), "stars")
-            pairs = pairs.unionByName(stars.select(*edge))
-        judged = judge(pairs.distinct())
-        found = judged.where("verdict = 2").select("a", "b")
-        # a component's links from its members to its label stand for all links so far
-        links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
-        if last:
-            break
-        placed = stored(known(stars.join(judged.select("a", "b", "verdict"), (F.least("key", "other") == F.col("a")) & (F.greatest("key", "other") == F.col("b")))
-                              .select("bucket", "key", "other", "verdict")), "placed")
-        # members near a pivot meet the pivot's partners in the next round, where they are not in one component already
-        partners = placed.where("verdict = 2").select("bucket", F.col("other").alias("pivot"), F.col("key").alias("other"), F.col("now").alias("then"))
-        between = placed.where("verdict = 1").select("bucket", F.col("other").alias("pivot"), "key", "now")
-        pending = between.join(partners, ["bucket", "pivot"]).where("now != then").select(*edge)
-        # what is linked with no pivot meets again, unless it is one component by now
-        rest = placed.groupBy("bucket", "key").agg(F.max("verdict").alias("verdict"), F.first("now").alias("now")).where("verdict < 2") \
-            .join(stars.select("bucket", F.col("other").alias("key")).distinct(), ["bucket", "key"], "left_anti")
-        sizes = rest.groupBy("bucket").agg(F.min("now").alias("x"), F.max("now").alias("y"), F.count(F.lit(1)).alias("members")).where("x != y")
-        buckets = stored(rest.select("bucket", "key").join(sizes.select("bucket", "members"), "bucket"), "rest")
-        n_pivots *= MORE_PIVOTS
-
-    labelled = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
-    smallest = labelled.select("key", "label").join(labelled.groupBy("label").agg(F.min("id").alias("id")), "label").select("key", "id")
-    out = marks.select("id", "n", "key").join(smallest.withColumnRenamed("id", "lowest"), "key", "left")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != now:
+                    if waiting:
+                        yield links()
+                    now, waiting = row[:2], []
+                waiting.append(row)
+        if waiting:
+            yield links()
+
+    def solved(rows: DataFrame) -> DataFrame:
+        rows = rows.select("of", "block", "side", "key", "now", "shingles").repartition("of", "block").sortWithinPartitions("of", "block")
+        return stored(rows.mapInArrow(solve, "a binary, b binary"), "links")
+
+    def dealt(seed: int) -> F.Column:
+        return F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("string")
+
+    n_large = large.count()
+    some = F.broadcast(large) if n_large <= 100_000 else large
+    links = solved(sets.join(some, "of", "left").fillna(1, ["blocks"]).select(
+        "of", dealt(1).alias("block"), F.lit(None).cast("int").alias("side"), "key", F.col("key").alias("now"), "shingles"))
+    if n_large:
+        def relabelled(found: DataFrame) -> DataFrame:
+            labels = components(found)
+            return sets.join(some, "of").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("now", F.coalesce("label", "key")).drop("label")
+
+        members = relabelled(links)
+        links = links.unionByName(solved(members.select("of", dealt(2).alias("block"), F.lit(None).cast("int").alias("side"), "key", "now", "shingles")))
+        members = stored(relabelled(links), "members")
+        groups = members.groupBy("of", "now").agg(F.count(F.lit(1)).alias("n"))
+        main = groups.groupBy("of").agg(F.max(F.struct("n", "now")).alias("m"), F.sum("n").alias("all"))
+        share = main.select("of", F.col("m.now").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("left")).where("left > 0")
+        members = members.join(share, "of").withColumn("rests", F.ceil(F.col("left") * F.col("blocks") / F.col("all")).cast("int"))
+        members = members.withColumn("rest", F.pmod(F.xxhash64("key", F.lit(3)), F.col("rests")))
+        every = members.withColumn("side", F.lit(1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("j", dealt(4).cast("int"))
+        rest = members.where("now != main").withColumn("side", F.lit(0)).withColumn("i", F.col("rest").cast("int")).withColumn(
+            "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = every.unionByName(rest).withColumn("block", F.concat_ws("-", "i", "j"))
+        links = links.unionByName(solved(pairs))
+
+    labels = stored(components(links).select(F.col("node").alias("key"), "label"), "labels")
+    forget(sets)
+    lowest = labels.join(nodes.select("key", "id"), "key").groupBy("label").agg(F.min("id").alias("lowest"))
+    of_key = nodes.select("key", "id").join(labels.join(lowest, "label").select("key", "lowest"), "key", "left")
+    of_key = of_key.select("key", F.when(F.col("lowest").isNull(), F.col("id")).otherwise(F.col("lowest")).alias("lowest"))
+    out = marks.select("id", "n", "key").join(of_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("lowest"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
