@@ -1,17 +1,18 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 E-mail addresses, IP addresses, card and phone numbers found by rule are the
-seeds. The words before identifier-like tokens are lexical patterns; patterns
-and tokens form a graph whose scores are spread a few rounds from the seeds:
-a pattern scores as its tokens do, an unknown token as its patterns do. Tokens
-that reach a high score behind well-supported patterns are reported as well."""
+seeds. The words before a seed or an identifier-like token are lexical
+patterns; patterns and their instances form a graph on which scores spread
+from the seeds until they stay the same: a pattern scores as its instances do,
+an unknown token half of what its best pattern does. Tokens behind patterns of
+a high score are reported as well."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datalathe.llm.text import stored
+from datalathe.llm.text import forget, stored
 
 #: Rules of the seeds (fixed values), without backtracking over long runs. A match may start right after another.
 RULES = {
@@ -21,13 +22,12 @@ RULES = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*RULES, "id"]
-#: A word with a digit in it.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A word with a digit, an underscore or an at sign in it.
+TOKEN = r"(?<!\S)[^\s0-9_@]*+[0-9_@]\S*+"
 #: What must be in a text for a rule to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "id": None}
-#: Rounds of spreading scores, the least score of a reported token, distinct seed tokens a pattern needs, and the
-#: least length and number of digits of a token.
-ROUNDS, LEAST_SCORE, LEAST_SEEDS, LEAST_LENGTH, LEAST_DIGITS = 3, 0.9, 5, 7, 4
+#: What an unknown token takes of its best pattern's score, and the change at which the scores count as settled.
+SHARE, SETTLED = 0.5, 0.005
 
 
 def _digits(text: Column) -> Column:
@@ -46,14 +46,21 @@ def _valid(kind: Column, found: Column) -> Column:
             .when(kind == "phone", n.between(10, 15)).otherwise(True))
 
 
-def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
+def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False, least_score: float = 0.75,
+                  least_seeds: int = 5, least_length: int = 7, least_digits: int = 4) -> DataFrame:
     """Personal data in every whole text.
 
     Returns one row for each row: the id column, base and found (arrays of struct<start, kind, end>, code points, end
     exclusive, in order; kind is a place in KINDS), and with ``with_rows`` the input row as the struct ``row``. ``base``
     holds the rules' matches, leftmost and non-overlapping for each kind, that pass the further tests; ``found`` adds
-    tokens (kind "id") discovered by context, which never overlap a rule's match, be it valid or refused. A null or empty text has none; repeated
-    rows are repeated, and count once as evidence for each distinct token. An empty table gives no rows.
+    tokens (kind "id") discovered by context, which never overlap a rule's match, be it valid or refused. A null or empty
+    text has none; repeated rows are repeated, and count once as evidence for each distinct token. An empty table gives no
+    rows.
+
+    A pattern is the last word, or the last two, before an instance, in lower case. With k distinct seeds among its n
+    distinct instances, whose other instances stand behind no better pattern, it settles at k / (n - SHARE * (n - k) + 0.2).
+    Patterns with fewer than ``least_seeds`` distinct seeds say nothing. A token is reported behind a pattern of
+    ``least_score`` or more if it has ``least_length`` characters and ``least_digits`` digits, or an underscore or at sign.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"),
@@ -63,19 +70,19 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for kind in KINDS:
         rule = RULES.get(kind, TOKEN)
         gaps = F.split("t", rule, -1)
-        tried = has_digit if NEEDS[kind] is None else F.contains("t", F.lit(NEEDS[kind])) & (has_digit if kind != "email" else F.lit(True))
-        # the words before a token: the end of the gap, two words at most
-        before = F.transform(gaps, lambda g: F.lower(F.regexp_extract(F.right(g, F.lit(80)), r"(?:(?<!\S)(\S+\s+))?(?<!\S)\S+\s+$", 0)))
+        tried = F.col("t").rlike("[0-9_@]") if kind == "id" else has_digit if NEEDS[kind] is None else F.contains("t", F.lit(NEEDS[kind])) & (has_digit if kind != "email" else F.lit(True))
+        # the words before a match: the end of the gap, two words at most
+        before = F.transform(gaps, lambda g: F.lower(F.regexp_extract(g, r"(?:(?<!\S)(\S++\s++))?(?<!\S)\S++\s++$", 0)))
         hits.append(F.when(tried, F.struct(
             F.lit(kind).alias("kind"), F.transform(gaps, F.char_length).alias("gaps"), F.regexp_extract_all("t", F.lit(rule), 0).alias("found"),
-            (before if kind == "id" else F.array().cast("array<string>")).alias("before"))))
+            before.alias("before"))))
     scanned = stored(rows.select(
         F.monotonically_increasing_id().alias("rid"), "id", *(["row"] if with_rows else []),
         F.filter(F.array(*hits), lambda h: F.size(h["found"]) > 0).alias("hits")), "pii-hits")
 
     # one row for each match; its place is the length of all gaps and matches before it
     each = scanned.select("rid", F.inline("hits")).select("rid", "kind", F.posexplode(F.arrays_zip("gaps", "found", "before")).alias("at", "m")).select(
-        "rid", "kind", "at", F.col("m.gaps").alias("gap"), F.col("m.found").alias("text"), F.regexp_replace(F.trim("m.before"), r"\s+", " ").alias("pattern"))
+        "rid", "kind", "at", F.col("m.gaps").alias("gap"), F.col("m.found").alias("text"), F.trim(F.regexp_replace("m.before", r"\s+", " ")).alias("pattern"))
     order = Window.partitionBy("rid", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.where("text is not null").withColumn("end", F.sum(F.col("gap") + F.char_length("text")).over(order)) \
         .withColumn("start", F.col("end") - F.char_length("text")).withColumn("valid", F.coalesce(_valid(F.col("kind"), F.col("text")), F.lit(False))) \
@@ -86,31 +93,40 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_id = F.col("kind") == "id"
     placed = placed.withColumn("start", F.when(is_id, F.col("start") + lead).otherwise(F.col("start"))) \
         .withColumn("text", F.when(is_id, core).otherwise(F.col("text"))).withColumn("end", F.col("start") + F.char_length("text"))
-    line = Window.partitionBy("rid").orderBy("start", is_id.cast("int"))
+    # of one kind no two matches of a text begin at one place, so both orders are whole and mirror each other
+    line = Window.partitionBy("rid").orderBy("start", is_id.cast("int"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), is_id.cast("int").desc(), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
 
     def touches(what: Column) -> Column:
         """Whether such a match overlaps the row's span."""
         ends, starts = F.when(what, F.col("end")), F.when(what, F.col("start"))
-        return (F.coalesce(F.max(ends).over(line.rowsBetween(Window.unboundedPreceding, 0)) > F.col("start"), F.lit(False))
-                | F.coalesce(F.min(starts).over(line.rowsBetween(0, Window.unboundedFollowing)) < F.col("end"), F.lit(False)))
+        return F.coalesce(F.max(ends).over(line) > F.col("start"), F.lit(False)) | F.coalesce(F.min(starts).over(back) < F.col("end"), F.lit(False))
 
     spans = stored(placed.withColumns({"seed": touches(~is_id & F.col("valid")), "refused": touches(~is_id & ~F.col("valid"))})
                    .where("valid").select("rid", "kind", "start", "end", "text", "pattern", "seed", "refused"), "pii-spans")
 
-    # the last two words before a token are one pattern, the last word alone another
-    tokens = spans.where("kind = 'id' and pattern != ''")
+    # the last two words before an instance are one pattern, the last word alone another; what a rule takes is no token
+    is_seed = F.col("kind") != "id"
+    instances = spans.where("pattern != '' and text != ''").where(is_seed | ~(F.col("seed") | F.col("refused")))
     last = F.substring_index("pattern", " ", -1)
-    patterned = tokens.withColumn("pattern", F.explode(F.array_distinct(F.array("pattern", last))))
-    edges = stored(patterned.groupBy("pattern", "text").agg(F.max("seed").alias("seed")), "pii-edges")
-    scores = edges.groupBy("text").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("known"))
-    for _ in range(ROUNDS):
-        patterns = edges.join(scores, "text").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + F.lit(0.2))).alias("of_pattern"), F.sum(F.col("known").cast("int")).alias("seeds"))
-        strong = patterns.where(F.col("seeds") >= LEAST_SEEDS)
-        scores = stored(edges.join(strong, "pattern", "left").groupBy("text").agg(
-            F.max("seed").alias("known"), F.when(F.max("seed"), 1.0).otherwise(F.coalesce(F.max("of_pattern"), F.lit(0.0))).alias("score")), "pii-scores")
-    unseen = tokens.where(~F.col("seed") & ~F.col("refused") & (F.char_length("text") >= LEAST_LENGTH) & (F.char_length(_digits(F.col("text"))) >= LEAST_DIGITS)) \
-        .join(scores.where(~F.col("known") & (F.col("score") >= LEAST_SCORE)), "text", "left_semi")
+    patterned = instances.select(is_seed.alias("seed"), "text", F.explode(F.array_distinct(F.array("pattern", last))).alias("pattern"))
+    edges = patterned.groupBy("pattern", "text").agg(F.max("seed").alias("seed"))
+    strong = edges.groupBy("pattern").agg(F.count_if(F.col("seed")).alias("seeds")).where(F.col("seeds") >= least_seeds)
+    edges = stored(edges.join(strong.select("pattern"), "pattern", "left_semi"), "pii-edges")
+    first = F.max("seed").cast("double").alias("score")
+    scores, rounds = edges.groupBy("text").agg(first), []
+    while True:
+        patterns = edges.join(scores, "text").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(0.2))).alias("of_pattern"))
+        best = edges.join(patterns, "pattern").groupBy("text").agg(F.max("seed").alias("known"), F.max("of_pattern").alias("best"))
+        new = stored(best.select("text", "known", "best", F.when(F.col("known"), F.lit(1.0)).otherwise(SHARE * F.col("best")).alias("score")), "pii-scores")
+        change = new.join(scores.select("text", F.col("score").alias("old")), "text").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        forget(*rounds)
+        scores, rounds = new, [new]
+        if change is None or change < SETTLED:
+            break
+    shaped = (F.char_length(_digits(F.col("text"))) >= least_digits) | F.col("text").rlike("[_@]")
+    unseen = instances.where(~is_seed & (F.char_length("text") >= least_length) & shaped) \
+        .join(scores.where(~F.col("known") & (F.col("best") >= least_score)), "text", "left_semi")
     number = F.create_map(*[F.lit(x) for k, name in enumerate(KINDS) for x in (name, k)])
     span = F.struct("start", number[F.col("kind")].alias("kind"), "end")
     taken = spans.where("kind != 'id'").unionByName(unseen.select(spans.columns))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,9 +190,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
+    for tables in _gathering:
+        tables.append(table)
     return table
 
 
+_gathering: list[list[DataFrame]] = []
+
+
+@contextmanager
+def gathered() -> Iterator[list[DataFrame]]:
+    """The tables that are stored while this is open."""
+    _gathering.append([])
+    try:
+        yield _gathering[-1]
+    finally:
+        _gathering.pop()
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove stored tables that no later step reads."""
     for table in tables:
