@@ -89,3 +89,26 @@ def test_grouped_infinities(spark):
     vals = sorted(v for _, v in rows)
     assert (g["q0"], g["q2"]) == (-inf, inf)
     assert g["q1"] == pytest.approx(float(np.median(np.array(vals))))
+
+
+def test_hot_group_without_broadcast(spark, monkeypatch):
+    """A third of all rows in one key, no broadcast: the join is dealt by salt as well as key, the aggregate by bracket."""
+    from datalathe.functions import quantiles
+    from tests.plans import plan_of
+
+    monkeypatch.setattr(quantiles, "GROUP_BROADCAST_MAX", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k", "CAST((id * 7919) % 4001 AS DOUBLE) AS v")
+        got = quantiles.grouped_quantiles(df, ["k"], "v", [0.5, 0.9], collect_limit=100)
+        plan = plan_of(got)
+        assert "hashpartitioning(k#" in plan and "__salt" in plan and "BroadcastHashJoin" not in plan
+        joined = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "__salt" in line]
+        regrouped = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "lo#" in line and "hi#" in line]
+        assert joined and regrouped
+        rows = {r.k: (r.q0, r.q1) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = df.toPandas().groupby("k")["v"].quantile([0.5, 0.9]).unstack()
+    assert rows == {k: (pytest.approx(a), pytest.approx(b)) for k, (a, b) in zip(want.index, want.to_numpy().tolist())}
