@@ -6,9 +6,10 @@ connected components of the bands' buckets, found over stars (each member of a b
 members makes m rows and no pairs. A component of bounded size goes into one task once, with its full sets. There its
 banded pairs are compared, pruned and verified, and only a spanning forest of the links leaves the task.
 
-A larger component is dealt into blocks of that size, twice in different ways; most of it is one group of links by then.
-What is not in its largest group meets every block of the component, so no link is lost; the work that is left grows with
-the rest times the component."""
+A larger component is dealt into blocks of that size first, which joins most of what is linked. Then each of its buckets
+that still holds several groups of links goes into a task with all its members. A bucket larger than a block is dealt
+once more, and what is not in its largest group by then meets all of its blocks, so no link is lost; the work that is
+left there grows with the rest times the bucket."""
 
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from datalathe.llm.text import (LOWER, Texts, arrow_type, forget, mix, span_hash
 #: Hashes of a band, and of a step of the sequential comparison.
 BAND_ROWS, STEP = 5, 20
 #: Nodes and bytes of shingle sets of a block; pairs compared at once; pairs verified one by one.
-BLOCK, BLOCK_SET_BYTES, PAIRS, FEW_PAIRS = 2048, 32 << 20, 200_000, 4096
+BLOCK, BLOCK_SET_BYTES, PAIRS, FEW_PAIRS = 4096, 32 << 20, 200_000, 4096
 #: Chance that a pair at the threshold is missed by the bands, and by the sequential comparison.
 MISS = 1e-6
 
@@ -85,9 +86,14 @@ def signature(shingles: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> b
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of edges (a, b): the smallest node that can be reached. Alternates large-star and
     small-star steps, each two hash joins, until all edges lead from a leaf to its centre; stars of any size are never
-    gathered in one task."""
+    gathered in one task. Edges that are such stars from the start need no step."""
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
+        ways = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if ways.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -97,11 +103,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = stored(small.where("a != b").distinct(), "small-star")
         forget(edges, large)
         edges = small
-        ways = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
-            edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-        if ways.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
 def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,8 +154,9 @@ class Solver:
         return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
 
     def forest(self, sets: list[np.ndarray], now: np.ndarray, left: np.ndarray | None) -> list[tuple[int, int]]:
-        """Pairs of nodes that are linked and join what ``now`` keeps apart, as few as needed. With ``left`` (a flag for
-        each node) only pairs with a flagged node count."""
+        """What links join of what ``now`` keeps apart, as few pairs of nodes as needed: for each group of links the first
+        node of every part of it with the first node of all. With ``left`` (a flag for each node) only links with a
+        flagged node count."""
         m = len(sets)
         signatures = np.frombuffer(b"".join(signature(s, self.factors, self.terms) for s in sets), "<u4").reshape(m, -1)
         group = np.unique(now, return_inverse=True)[1]
@@ -166,7 +168,7 @@ class Solver:
                 g = parent[g]
             return g
 
-        parent, out = list(range(max(top) + 1)), []
+        parent = list(range(max(top) + 1))
         rows = max(1, PAIRS * 8 // m)
         for start in range(0, m, rows):  # pairs of some rows with all later nodes
             a = np.repeat(np.arange(start, min(m, start + rows)), m - 1 - np.arange(start, min(m, start + rows)))
@@ -196,7 +198,13 @@ class Solver:
                     if 100 * shared < self.percent * (len(both) - shared):
                         continue
                 parent[x] = y
-                out.append((i, j))
+        centre: dict[int, int] = {}
+        out, first = [], set()
+        for i, g in enumerate(top):
+            if g not in first:
+                first.add(g)
+                if centre.setdefault(root(g), i) != i:
+                    out.append((i, centre[root(g)]))
         return out
 
 
@@ -279,7 +287,7 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
 
         def links() -> pa.RecordBatch:
             rest = {r[3] for r in waiting if r[2] == 0}
-            nodes = list({r[3]: r for r in waiting}.values())
+            nodes = [r for _, r in sorted({r[3]: r for r in waiting}.items())]  # so that a star's centre is its smallest key
             left = None if all(r[2] is None for r in waiting) else np.array([r[3] in rest for r in nodes])
             found = solver.forest([np.frombuffer(r[5], np.uint64) for r in nodes], np.array([r[4] for r in nodes], object), left) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[i][3] for i, _ in found], pa.binary()), pa.array([nodes[j][3] for _, j in found], pa.binary())], names=["a", "b"])
@@ -303,26 +311,33 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
 
     n_large = large.count()
     some = F.broadcast(large) if n_large <= 100_000 else large
+    nobody = F.lit(None).cast("int").alias("side")
     links = solved(sets.join(some, "of", "left").fillna(1, ["blocks"]).select(
-        "of", dealt(1).alias("block"), F.lit(None).cast("int").alias("side"), "key", F.col("key").alias("now"), "shingles"))
+        F.hex("of").alias("of"), dealt(1).alias("block"), nobody, "key", F.col("key").alias("now"), "shingles"))
     if n_large:
-        def relabelled(found: DataFrame) -> DataFrame:
-            labels = components(found)
-            return sets.join(some, "of").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("now", F.coalesce("label", "key")).drop("label")
-
-        members = relabelled(links)
-        links = links.unionByName(solved(members.select("of", dealt(2).alias("block"), F.lit(None).cast("int").alias("side"), "key", "now", "shingles")))
-        members = stored(relabelled(links), "members")
-        groups = members.groupBy("of", "now").agg(F.count(F.lit(1)).alias("n"))
-        main = groups.groupBy("of").agg(F.max(F.struct("n", "now")).alias("m"), F.sum("n").alias("all"))
-        share = main.select("of", F.col("m.now").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("left")).where("left > 0")
-        members = members.join(share, "of").withColumn("rests", F.ceil(F.col("left") * F.col("blocks") / F.col("all")).cast("int"))
-        members = members.withColumn("rest", F.pmod(F.xxhash64("key", F.lit(3)), F.col("rests")))
-        every = members.withColumn("side", F.lit(1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("j", dealt(4).cast("int"))
-        rest = members.where("now != main").withColumn("side", F.lit(0)).withColumn("i", F.col("rest").cast("int")).withColumn(
-            "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = every.unionByName(rest).withColumn("block", F.concat_ws("-", "i", "j"))
-        links = links.unionByName(solved(pairs))
+        # in large components the buckets are the groups, where they hold what is not one group of links by now
+        inside = sets.join(some, "of").select("key", F.octet_length("shingles").alias("bytes"))
+
+        def with_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
+            labels = components(found).select(F.col("node").alias("key"), "label")
+            return rows.join(labels, "key", "left").withColumn("now", F.coalesce("label", "key")).drop("label")
+
+        members = nodes.join(inside, "key", "left_semi").select("key", "bands").mapInArrow(entries_of, "bucket bigint, key binary").join(with_groups(inside, links), "key")
+        members = stored(members, "bucket-members")
+        mixed = members.groupBy("bucket").agg(F.min("now").alias("x"), F.max("now").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")).where("x != y")
+        mixed = stored(mixed.select("bucket", blocks.alias("blocks")), "mixed-buckets")
+        members = members.select("bucket", "key", "now").join(mixed, "bucket").withColumn("of", F.col("bucket").cast("string")).join(sets.select("key", "shingles"), "key")
+        links = links.unionByName(solved(members.select("of", dealt(2).alias("block"), nobody, "key", "now", "shingles")))
+        if not mixed.where("blocks > 1").isEmpty():
+            huge = stored(with_groups(members.where("blocks > 1").drop("now"), links), "huge-buckets")
+            groups = huge.groupBy("of", "now").agg(F.count(F.lit(1)).alias("n"))
+            main = groups.groupBy("of").agg(F.max(F.struct("n", "now")).alias("m"), F.sum("n").alias("all"))
+            share = main.select("of", F.col("m.now").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("left")).where("left > 0")
+            huge = huge.join(share, "of").withColumn("rests", F.ceil(F.col("left") * F.col("blocks") / F.col("all")).cast("int"))
+            every = huge.withColumn("side", F.lit(1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("j", dealt(4).cast("int"))
+            rest = huge.where("now != main").withColumn("side", F.lit(0)).withColumn("i", F.pmod(F.xxhash64("key", F.lit(3)), F.col("rests")).cast("int")).withColumn(
+                "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            links = links.unionByName(solved(every.unionByName(rest).withColumn("block", F.concat_ws("-", "i", "j"))))
 
     labels = stored(components(links).select(F.col("node").alias("key"), "label"), "labels")
     forget(sets)
