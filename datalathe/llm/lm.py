@@ -219,8 +219,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pd.DataFrame({"block": rows["block"], "shard": rows["shard"],
                              "minus": [squeeze(x) for x in np.split(minus, np.cumsum(sizes)[:-1])]})
 
-    partial = blocks.select("block", F.explode("bigrams").alias("b")).select("block", "b.*").groupBy("shard").applyInPandas(
-        score, "block string, shard int, minus binary")
+    # what a block needs again is kept apart, so that its bigrams can go once the shards have answered
+    local = stored(blocks.select("block", "ids", "held", "n_tokens", "n_known", "base", "seen", "docs"), "lm-local")
+    partial = stored(blocks.select("block", F.explode("bigrams").alias("b")).select("block", "b.*").groupBy("shard").applyInPandas(
+        score, "block string, shard int, minus binary"), "lm-answers")
+    forget(blocks)
     # the block's bigrams lie in order of the shards
     per_block = partial.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "minus"))).alias("parts"))
 
@@ -235,6 +238,6 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     pa.array(row["n_known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score_)],
                     names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = blocks.select("block", "ids", "held", "n_tokens", "n_known", "base", "seen", "docs").join(per_block, "block").mapInArrow(
+    out = local.join(per_block, "block").mapInArrow(
         finish, f"id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
