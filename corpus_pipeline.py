@@ -60,8 +60,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a stored number behind the id, as ids may be repeated or null; null ids come last."""
     number = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("place"))
     rows = stored(docs.select(number.alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "near-rows")
-    kept = near_groups(rows.select("number", "row.text"), shingle=5, percent=80, id_col="number").where("kept").select("number")
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    groups = near_groups(rows.select("number", "row.text"), shingle=5, percent=80, id_col="number")
+    # the places of dropped rows are the short list
+    return rows.join(groups.where("not kept").select("number.place"), F.col("number.place") == F.col("place"), "left_anti").select("row.*")
 
 
 @stage
