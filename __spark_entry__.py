@@ -228,6 +228,12 @@ def q_kpis_lineitem(spark, sf):
     return _r(kpi.detect_kpis(_t(spark, sf, "lineitem")), 2)
 
 
+def q_kpis_average(spark, sf):
+    """A column whose name asks for an average, and text columns with few values until there are four."""
+    events = _t(spark, sf, "events").withColumnsRenamed({"value": "score"})
+    return _r(kpi.detect_kpis(events))
+
+
 def q_insights(spark, sf):
     return profile.insights(_t(spark, sf, "events"))
 
@@ -276,6 +282,13 @@ def q_freshness(spark, sf):
     return health.freshness_report(_t(spark, sf, "events"), AS_OF)
 
 
+def q_freshness_text(spark, sf):
+    """Dates that are text, some of them no dates."""
+    orders = _t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, F.lit("unknown")).otherwise(
+        F.col("o_orderdate").cast("string")).alias("order_date"))
+    return health.freshness_report(orders, AS_OF)
+
+
 def q_health(spark, sf):
     runs = spark.createDataFrame(
         [(c, OLD_SCHEMA_HASH, dt.datetime(2024, 1, 1 + i)) for i, c in enumerate(HISTORY_COUNTS)],
@@ -402,6 +415,14 @@ def q_kmeans(spark, sf):
     return models.kmeans(_t(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], k=3)["sizes"]
 
 
+def q_pca(spark, sf):
+    return _r(models.pca(_t(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"]))
+
+
+def q_silhouette(spark, sf):
+    return _r(models.silhouette(_t(spark, sf, "part"), ["p_size", "p_retailprice"], "p_brand"))
+
+
 def q_suggest_config(spark, sf):
     return models.suggest_model_frame(_t(spark, sf, "orders"), "Predict o_custkey")
 
@@ -482,6 +503,24 @@ def q_json_roundtrip(spark, sf):
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
 
+def q_json_object(spark, sf):
+    """One object with nested fields becomes one row with dotted names."""
+    path = _scratch(spark, "json")
+    one = _t(spark, sf, "orders").agg(F.count(F.lit(1)).alias("rows"), F.struct(
+        F.max("o_orderkey").alias("highest"), F.struct(F.min("o_orderstatus").alias("first"), F.max("o_orderstatus").alias("last")).alias("status")).alias("keys"))
+    one.coalesce(1).write.json(path)
+    return files.load_json_records(spark, path)
+
+
+def q_json_list(spark, sf):
+    """One object that holds a list of objects becomes that list."""
+    path = _scratch(spark, "json")
+    nations = _t(spark, sf, "nation")
+    one = nations.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("items"))
+    one.coalesce(1).write.json(path)
+    return files.load_json_records(spark, path)
+
+
 def q_step_history(spark, sf):
     ws = Workspace(spark, _scratch(spark, "workspace"))
     did = ws.register_dataset("events", "parquet")
@@ -535,6 +574,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boxplot": q_boxplot,
     "kpis": q_kpis,
     "kpis_lineitem": q_kpis_lineitem,
+    "kpis_average": q_kpis_average,
     "insights": q_insights,
     "chart_group_mean": q_chart_group_mean,
     "recommend_charts": q_recommend_charts,
@@ -547,12 +587,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_scan": q_pii_scan,
     "contract_check": q_contract_check,
     "freshness": q_freshness,
+    "freshness_text": q_freshness_text,
     "health": q_health,
     "drivers": q_drivers,
     "drivers_top": q_drivers_top,
     "train_regression": q_train_regression,
     "train_classification": q_train_classification,
     "kmeans": q_kmeans,
+    "pca": q_pca,
+    "silhouette": q_silhouette,
     "train_test_split": q_train_test_split,
     "ols": q_ols,
     "ols_two": q_ols_two,
@@ -574,6 +617,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_latin1": q_csv_latin1,
     "csv_semicolons": q_csv_semicolons,
     "json_roundtrip": q_json_roundtrip,
+    "json_object": q_json_object,
+    "json_list": q_json_list,
     "step_history": q_step_history,
 }
 
@@ -1012,6 +1057,37 @@ def _own_sql() -> dict[str, str]:
                         WHEN floor((epoch(TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') - epoch(max(ts))) / 86400) < 7 THEN 'ok'
                         ELSE 'stale' END AS freshness
             FROM events""",
+        "freshness_text": f"""
+            SELECT 'order_date' AS column_name, max(o_orderdate) AS last_value,
+                   CAST(floor((epoch(TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') - epoch(max(o_orderdate))) / 86400) AS INTEGER) AS days_since_last_entry,
+                   CASE WHEN floor((epoch(TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') - epoch(max(o_orderdate))) / 86400) < 1 THEN 'fresh'
+                        WHEN floor((epoch(TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') - epoch(max(o_orderdate))) / 86400) < 7 THEN 'ok' ELSE 'stale' END AS freshness
+            FROM orders WHERE o_orderkey % 9 <> 0""",
+        "kpis_average": """
+            SELECT 'avg_score' AS kpi_id, 'Avg score' AS label, round(avg(value), 4) AS value, CAST(NULL AS VARCHAR) AS text_value, 'number' AS format FROM events
+            UNION ALL SELECT 'top_event_type', 'Top event_type', NULL, v || ' (' || n || ')', 'text' FROM
+                (SELECT event_type AS v, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+            WHERE (SELECT count(DISTINCT event_type) FROM events) < 50
+            UNION ALL SELECT 'top_props', 'Top props', NULL, v || ' (' || n || ')', 'text' FROM
+                (SELECT props AS v, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+            WHERE (SELECT count(DISTINCT props) FROM events) < 50""",
+        "pca": """
+            WITH s AS (SELECT var_samp(l_extendedprice) AS a, var_samp(l_quantity) AS d, covar_samp(l_extendedprice, l_quantity) AS b FROM lineitem),
+            e AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS hi, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS lo FROM s),
+            v AS (SELECT 1 AS component, hi AS variance, b AS x, hi - a AS y, a + d AS total FROM e UNION ALL SELECT 2, lo, b, lo - a, a + d FROM e),
+            w AS (SELECT component, variance, variance / total AS share, x / sqrt(x * x + y * y) * CASE WHEN x + y >= 0 THEN 1 ELSE -1 END AS p,
+                         y / sqrt(x * x + y * y) * CASE WHEN x + y >= 0 THEN 1 ELSE -1 END AS q FROM v)
+            SELECT CAST(component AS INTEGER) AS component, round(variance, 4) AS variance, round(share, 4) AS share, 'l_extendedprice' AS feature, round(p, 4) AS weight FROM w
+            UNION ALL SELECT CAST(component AS INTEGER), round(variance, 4), round(share, 4), 'l_quantity', round(q, 4) FROM w""",
+        "silhouette": """
+            WITH d AS (SELECT row_number() OVER () AS i, p_brand AS c, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+            p AS (SELECT a.i, a.c, b.c AS other, sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS s, count(*) AS n FROM d a, d b GROUP BY ALL),
+            q AS (SELECT i, c, max(s / (n - 1)) FILTER (WHERE other = c AND n > 1) AS own, min(s / n) FILTER (WHERE other <> c) AS near FROM p GROUP BY i, c)
+            SELECT c AS cluster, count(*) AS size, round(avg(CASE WHEN own IS NULL OR near IS NULL OR greatest(own, near) = 0 THEN 0.0
+                   ELSE (near - own) / greatest(own, near) END), 4) AS silhouette FROM q GROUP BY c""",
+        "json_object": """
+            SELECT max(o_orderkey) AS "keys.highest", min(o_orderstatus) AS "keys.status.first", max(o_orderstatus) AS "keys.status.last", count(*) AS rows FROM orders""",
+        "json_list": "SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation",
         "health": _health_sql(),
         "health_history": _health_history_sql(),
         "sample_rows": f"SELECT * FROM lineitem ORDER BY {_row_md5(LINEITEM_ALL)} LIMIT 200",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datalathe.functions.quantiles import exact_quantiles
-from datalathe.functions.stats import column_modes
+from datalathe.functions.stats import agg_in_chunks, column_modes
 from datalathe.functions.types import (
     col,
     is_float,
@@ -100,7 +100,9 @@ def fill_strategy(df: DataFrame, strategy: str, columns=None, *, approx: bool =
         targets = known_columns(df, columns) if columns else [
             f.name for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
         ]
-        modes = column_modes(df, targets)
+        # only a column that holds nulls needs its mode: one narrow count before any value is counted
+        holes = agg_in_chunks(df, [F.count_if(missing(df, c)).alias(f"z{i}") for i, c in enumerate(targets)], 1_500) if targets else {}
+        modes = column_modes(df, [c for i, c in enumerate(targets) if holes[f"z{i}"]])
         exprs = []
         for f in df.schema.fields:
             m = modes.get(f.name)
@@ -223,21 +225,21 @@ def label_encode(df: DataFrame, columns) -> DataFrame:
     return out
 
 
-def one_hot(df: DataFrame, columns, *, max_values: int = ONE_HOT_MAX) -> DataFrame:
+def one_hot(df: DataFrame, columns, *, max_values: int | None = ONE_HOT_MAX) -> DataFrame:
     """``{col}_{value}`` boolean columns, sorted by value, appended at the
     end; the source column goes; null gives all false. More than
-    ``max_values`` distinct values is an error, not a silent cap."""
+    ``max_values`` distinct values is an error, not a silent cap (None: no limit)."""
     out = df
     for c in columns or []:
         if c not in out.columns:
             continue
         dtype = out.schema[c].dataType
-        vals = (
+        distinct = (
             out.where(~missing(out, c)).select(col(c).alias("v"), text_form(c, dtype).alias("t"))
-            .groupBy("v", "t").agg(F.lit(1).alias("_"))
-            .orderBy("v").limit(max_values + 1).collect()
+            .groupBy("v", "t").agg(F.lit(1).alias("_")).orderBy("v")
         )
-        if len(vals) > max_values:
+        vals = (distinct if max_values is None else distinct.limit(max_values + 1)).collect()
+        if max_values is not None and len(vals) > max_values:
             raise ValueError(f"one-hot of {c!r}: more than {max_values} distinct values")
         keep = [col(x) for x in out.columns if x != c]
         dummies = [F.coalesce(col(c) == F.lit(r["v"]).cast(dtype), F.lit(False)).alias(f"{c}_{r['t']}") for r in vals]
@@ -293,9 +295,10 @@ STEP_TEXT = {
 }
 
 
-def clean(df: DataFrame, operation: str, columns=None, value=None, strategy=None, rename_map=None):
+def clean(df: DataFrame, operation: str, columns=None, value=None, strategy=None, rename_map=None, max_values: int | None = ONE_HOT_MAX):
     """One cleaning request as the reference's ``/clean`` takes it; returns
-    ``(frame, description)``."""
+    ``(frame, description)``. ``max_values``: the most columns that one-hot
+    encoding may make of one (None: any number)."""
     if operation == "dropna":
         return drop_missing(df, columns), STEP_TEXT["dropna"]
     if operation == "fillna":
@@ -313,7 +316,7 @@ def clean(df: DataFrame, operation: str, columns=None, value=None, strategy=None
         if strategy == "label":
             out = label_encode(df, columns)
         elif strategy == "onehot":
-            out = one_hot(df, columns)
+            out = one_hot(df, columns, max_values=max_values)
         else:
             out = df
         return out, f"Encoded Columns ({strategy})"
