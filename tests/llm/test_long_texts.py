@@ -25,7 +25,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string").repartition(2).withColumnRenamed("nothing", "x").cache()
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(2).selectExpr("*", "'en' AS lang").cache()
 
 
 def test_tokens(docs, rows):
