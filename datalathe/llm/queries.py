@@ -13,7 +13,7 @@ import zipfile
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,10 +67,16 @@ def op4_suffix(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def counted(kinds: list[str]) -> list[Column]:
+    """How many base spans each kind has. Spark gives a function of two parameters the place as the second one, so the
+    kind comes from a function around it."""
+    of = lambda k: lambda s: s["kind"] == k
+    return [F.size(F.filter("base", of(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(kinds)]
+
+
 def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     out = pii.find_personal(documents(spark, sf))
-    counted = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
-    return out.select("doc_id", *counted, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("found").alias("spans"))
+    return out.select("doc_id", *counted(pii.KINDS[:4]), F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("found").alias("spans"))
 
 
 def op6_counts(spark: SparkSession, sf: str) -> DataFrame:

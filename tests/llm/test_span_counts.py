@@ -1,0 +1,22 @@
+"""The counts by kind that the span queries return, on rows of their own."""
+
+import hashlib
+
+from datalathe.llm import queries
+
+
+def written_tables(spark, tmp_path, texts):
+    rows = [(i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def digest(spans):
+    return hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_personal_counts_by_kind(spark, tmp_path):
+    sf = written_tables(spark, tmp_path, ["a@b.co, c@d.org and e@f.net", "1.2.3.4 or 1.2.3.256", "4111111111111111", "+49 30 1234567 x@y.z", None])
+    got = {r[0]: tuple(r[1:]) for r in queries.op5_pii(spark, sf).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()}
+    assert got == {0: (3, 0, 0, 0, digest("email:0:6,email:8:15,email:20:27")), 1: (0, 1, 0, 0, digest("ip:0:7")), 2: (0, 0, 1, 0, digest("card:0:16")),
+                   3: (1, 0, 0, 1, digest("phone:0:14,email:15:20")), 4: (0, 0, 0, 0, digest(""))}
