@@ -121,8 +121,7 @@ def op12_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def op13_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """A document's source is its owner; each document is a repository."""
     out = secrets.scan_secrets(documents(spark, sf), owner="source")
-    counted = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
-    return out.select("doc_id", *counted, F.sha2(secrets.written("base").cast("binary"), 256).alias("base_sha256"), secrets.written("found").alias("spans"),
+    return out.select("doc_id", *counted(secrets.KINDS[:3]), F.sha2(secrets.written("base").cast("binary"), 256).alias("base_sha256"), secrets.written("found").alias("spans"),
                       F.size(F.filter("found", lambda s: s["live"])).cast("bigint").alias("n_live"))
 
 
