@@ -25,6 +25,8 @@ from datalathe.llm.text import SPACE, arrow_type, distinct_spans, slices, stored
 
 #: A worker keeps the ids of at most this many chunks between blocks; a memory bound only.
 CACHE_CHUNKS = 300_000
+#: Texts are encoded in blocks of about this many bytes; the arrays over a block are some forty times as large.
+ENCODE_BYTES = 1 << 20
 #: White space outside ASCII, as UTF-8; texts with it are encoded whole by the library.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -161,7 +163,7 @@ def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_
         bpe = byte_bpe(tokenizer)
         end = np.array([end_id], bpe.type).tobytes()
         part, seen, full = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
-        for texts in text_blocks(batches):
+        for texts in text_blocks(batches, ENCODE_BYTES):
             ids = [x + end for x in bpe.encode(texts)]
             n = np.array([len(x) for x in ids]) // len(end)
             rest, rank, fulls = n % window, [], full + np.cumsum(n // window) - n // window
